@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexloom.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts, url_filter
+from vertexloom.llm import bpe, exact_dedup, langid, mixing, quality, sharding, simhash, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     judged = quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -48,6 +53,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -57,10 +67,12 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
     "op3_simhash": op3_simhash,
+    "op4_langid": op4_langid,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
