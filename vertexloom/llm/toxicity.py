@@ -4,7 +4,7 @@ Features of a text: how dense it is in words of a lexicon, how near these
 stand to words of the second person, capitals, punctuation, symbols, and words
 that hide letters behind other signs. The lexicon is a fixed list of insults
 and the words that the learning rows show to be far more common in toxic
-documents. Trees are grown by histograms on the logistic loss on three
+documents, with its beginnings of words, as insults take endings. Trees are grown by histograms on the logistic loss on three
 quarters of the learning sample; on the rest, isotonic regression turns their
 sum into a probability. Learning takes a bounded sample of labelled rows:
 ``MAX_POSITIVE`` toxic and ``MAX_NEGATIVE`` other documents, the first in a
@@ -31,11 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.arrow import slices, with_columns
+from vertexloom.functions.shared import materialize
 from vertexloom.llm.langid import remainder
 
 MAX_POSITIVE, MAX_NEGATIVE = 8_000, 16_000
-#: A learned word is in this share of toxic documents at least, this many times the share of others, and among so many words at most.
-WORD_SHARE, WORD_LIFT, MAX_WORDS = 0.1, 10.0, 200
+#: A learned word is in this share of toxic documents at least and in LEAST_DOCS, this many times the share of others, and among so many words at most.
+WORD_SHARE, WORD_LIFT, MAX_WORDS = 0.002, 8.0, 20_000
+STEM_SHARE, STEM_LIFT = 0.005, 3.0
+LEAST_DOCS = 4
+#: Bytes of a stem: the beginning of a longer word.
+STEM = 6
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 60, 3, 0.2, 48, 20.0, 1.0
 
 # Insults, and words of the second person in four languages.
@@ -63,23 +68,26 @@ DROPPED = b"*.-_"
 SHOUTED = re.compile(rb"\b[A-Z]{2,}\b").findall
 
 FEATURES = (
-    "log_words hits_a_word log_hits different_hits weight_a_word most_weight you_a_word nearness capitals shouted "
+    "log_words hits_a_word log_hits different_hits weight_a_word weight most_weight "
+    "stems_a_word log_stems different_stems stem_weight you_a_word nearness capitals shouted "
     "exclaimed asked stops symbols digits hidden_a_word hidden_hits word_length hits_a_line"
 ).split()
 
 
 class Lexicon:
-    """Words and their weights; insults that the sample says nothing about weigh 1."""
+    """Words and stems with their weights; insults that the sample says nothing about weigh 1."""
 
-    def __init__(self, learned: dict[str, float]):
-        self.weights = {w.encode(): 1.0 for w in INSULTS} | {w.encode(): x for w, x in learned.items()}
+    def __init__(self, words: dict[bytes, float], stems: dict[bytes, float]):
+        self.weights = {w.encode(): 1.0 for w in INSULTS} | words
+        self.stems = stems
 
     def features(self, text: bytes) -> tuple[float, ...]:
         low = text.lower()
         words = low.translate(BLANK).split()
         n, size = max(1, len(words)), max(1, len(text))
-        weights = self.weights
+        weights, stems = self.weights, self.stems
         hits = [(i, w) for i, w in enumerate(words) if w in weights]
+        begun = [w for w in words if w[:STEM] in stems]
         you = [i for i, w in enumerate(words) if w in YOU]
         hidden = HIDDEN(low)
         unhidden = sum(h.translate(LEET) in weights or h.translate(LEET, DROPPED) in weights for h in hidden)
@@ -89,7 +97,8 @@ class Lexicon:
             return (len(text) - len(text.translate(None, signs))) / size
 
         return (
-            np.log1p(len(words)), len(hits) / n, np.log1p(len(hits)), len({w for _, w in hits}), sum(held) / n, max(held, default=0.0),
+            np.log1p(len(words)), len(hits) / n, np.log1p(len(hits)), len({w for _, w in hits}), sum(held) / n, sum(held), max(held, default=0.0),
+            len(begun) / n, np.log1p(len(begun)), len(set(begun)), sum(stems[w[:STEM]] for w in begun) / n,
             len(you) / n, nearness([i for i, _ in hits], you), rate(UPPER), len(SHOUTED(text)) / n,
             rate(b"!"), rate(b"?"), rate(STOPS), rate(SYMBOLS), rate(DIGITS), len(hidden) / n, unhidden, size / n, len(hits) / (1 + text.count(b"\n")),
         )
@@ -186,13 +195,13 @@ def isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 class Scorer:
     """What the tasks get: a few hundred KB."""
 
-    learned: dict[str, float]
+    learned: tuple[dict[bytes, float], dict[bytes, float]]
     share: float
     forest: Forest | None = None
     knots: tuple[np.ndarray, np.ndarray] | None = None
 
     def __post_init__(self):
-        self.lexicon = Lexicon(self.learned)
+        self.lexicon = Lexicon(*self.learned)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.forest is None:
@@ -214,48 +223,62 @@ def learning_labels(labels: DataFrame) -> DataFrame:
     return out
 
 
-def word_shares(rows: DataFrame) -> dict[str, float]:
-    """Learned words with the logarithm of how much more often toxic documents have them."""
+def terms(text: bytes) -> set[bytes]:
+    """The different words of a text, and its stems behind a zero byte."""
+    words = {w for w in text.lower().translate(BLANK).split() if len(w) > 2}
+    return words | {b"\0" + w[:STEM] for w in words if len(w) > STEM}
+
+
+def lexicon_of(rows: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]:
+    """Learned words and stems with the logarithm of how much more often toxic documents have them.
+
+    Documents are counted by Spark over all rows of the sample; the driver
+    gets those that pass, ``MAX_WORDS`` at most.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, other, n = Counter(), Counter(), [0, 0]
-        for batch in slices(batches):
+        for batch in slices(batches, 2048):
+            toxic, other = Counter(), Counter()
             for text, y in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                n[y] += 1
-                (toxic if y else other).update({w for w in text.lower().translate(BLANK).split() if len(w) > 2})
-        # Words that no toxic document of this task has cannot pass, except for their counts elsewhere: all are given.
-        words = list(toxic.keys() | other.keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b"", *words], pa.binary()), pa.array([n[1], *(toxic[w] for w in words)], pa.int64()), pa.array([n[0], *(other[w] for w in words)], pa.int64())],
-            names=["word", "toxic", "other"],
-        )
-
-    sums = rows.select("text", "toxic").mapInArrow(counted, "word binary, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+                (toxic if y else other).update(terms(text))
+            words = list(toxic.keys() | other.keys())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.binary()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())],
+                names=["term", "toxic", "other"],
+            )
+
     totals = rows.agg(F.sum("toxic"), F.count("*")).first()
     n_toxic, n_other = totals[0] or 0, totals[1] - (totals[0] or 0)
     if not n_toxic or not n_other:
-        return {}
+        return {}, {}
+    sums = rows.select("text", "toxic").mapInArrow(counted, "term binary, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     lift = (F.col("toxic") / F.lit(float(n_toxic))) / ((F.col("other") + 0.5) / F.lit(float(n_other)))
-    common = sums.filter((F.octet_length("word") > 0) & (F.col("toxic") >= WORD_SHARE * n_toxic)).withColumn("lift", lift).filter(F.col("lift") >= WORD_LIFT)
-    best = common.orderBy(F.desc("lift"), "word").limit(MAX_WORDS).collect()
-    return {bytes(r["word"]).decode(errors="replace"): float(np.log(r["lift"])) for r in best}
+    stem = F.substring("term", 1, 1) == F.lit(b"\0")
+    share, least = F.when(stem, STEM_SHARE).otherwise(WORD_SHARE), F.when(stem, STEM_LIFT).otherwise(WORD_LIFT)
+    common = sums.withColumn("lift", lift).filter((F.col("toxic") >= F.greatest(F.lit(LEAST_DOCS), share * n_toxic)) & (F.col("lift") >= least))
+    words: dict[bytes, float] = {}
+    stems: dict[bytes, float] = {}
+    for r in common.orderBy(F.desc("toxic"), "term").limit(MAX_WORDS).collect():
+        term = bytes(r["term"])
+        (stems if term[:1] == b"\0" else words)[term.lstrip(b"\0")] = float(np.log(r["lift"]))
+    return words, stems
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from the labelled documents of the sample."""
     ids = learning_labels(labels).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    learned = word_shares(rows)
-    lexicon = Lexicon(learned)
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int").alias("fold")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), part)
+    rows = materialize(own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", F.col("toxic").cast("int").alias("toxic"), "weight", "fold"), "toxicity-sample")
+    learned = lexicon_of(rows.filter("fold != 0"))
+    lexicon = Lexicon(*learned)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = [lexicon.features(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield with_columns(batch, ["toxic", "weight", "fold"], x=pa.array(x, pa.list_(pa.float64())))
 
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int").alias("fold")
-    got = rows.select(F.col("toxic").cast("int").alias("toxic"), "weight", part, "text")
-    got = got.mapInArrow(measured, "toxic int, weight double, fold int, x array<double>").toArrow()
+    got = rows.mapInArrow(measured, "toxic int, weight double, fold int, x array<double>").toArrow()
     y, w, fold = (got[c].to_numpy().astype(float) for c in ("toxic", "weight", "fold"))
     if not len(y) or y.min() == y.max():
         return Scorer(learned, float(y.mean()) if len(y) else 0.0)
@@ -290,6 +313,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted to be toxic; all columns stay."""
-    scored = score(docs, learn(docs, labels), docs.columns)
-    return scored.filter(F.col("predicted") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` without the documents predicted to be toxic; all columns stay. Rows pass through their task, none is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            s = shared.value.scores([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            yield batch.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(passed, docs.schema)
