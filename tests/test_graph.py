@@ -1,0 +1,161 @@
+import random
+
+import pytest
+from pyspark.errors import PySparkException
+from simulation import Graph
+
+from vertexloom.model import EDGE_LIST, GraphError, UnknownName
+from vertexloom.operators import ingest, lookups, matching, neighbours, reach, wcc
+from vertexloom.operators.components import connected_components
+from vertexloom.plans.patterns import Pattern, PatternEdge, elimination_order
+from vertexloom.sources.store import GraphStore
+
+SMALL = [
+    ("a", "Person", "Like", "b", "Dog"),
+    ("a", "Dog", "Like", "b", "Person"),  # labels disagree: the vertices keep the first, the edge takes the last
+    ("b", "Dog", "Hate", "c", "Cat"),
+    ("c", "Cat", "Like", "c", "Cat"),
+    ("", "", "", "d", "Dog"),
+]
+
+
+def raw(spark, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_no long, " + ", ".join(f"{c} string" for c in EDGE_LIST))
+
+
+def stored(spark, path, rows):
+    return GraphStore(spark, str(path)).add(raw(spark, rows))
+
+
+def by_pk(graph):
+    pk = {r.id: r.pk for r in graph.vertices.collect()}
+    return {(pk[r.src], r.dir, r.rel, pk[r.dst]): r.dst_label for r in graph.edges.collect()}
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    return stored(spark, tmp_path_factory.mktemp("small"), SMALL)
+
+
+def count(df):
+    return df.first()[0]
+
+
+def test_first_label_wins_for_vertices_and_last_row_for_edges(small):
+    assert {r.pk: (r.id, r.label) for r in small.vertices.collect()} == {"a": (0, "Person"), "b": (1, "Dog"), "c": (2, "Cat"), "": (3, ""), "d": (4, "Dog")}
+    assert by_pk(small) == Graph(SMALL).edge
+    assert by_pk(small)["a", 0, "Like", "b"] == "Person" and by_pk(small)["b", 1, "Like", "a"] == "Dog"
+
+
+def test_merge_keeps_vertices_and_replaces_edge_labels(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path))
+    assert store.version() is None
+    with pytest.raises(GraphError):
+        store.open()
+    first = store.add(raw(spark, SMALL))
+    again = store.add(raw(spark, SMALL))
+    assert store.version() == 2 and by_pk(again) == by_pk(first)
+    assert {tuple(r) for r in again.vertices.collect()} == {tuple(r) for r in first.vertices.collect()}
+    more = store.add(raw(spark, [("a", "Cat", "Like", "b", "Cat"), ("e", "New", "Like", "a", "Dog")]))
+    assert by_pk(more) == Graph([*SMALL, ("a", "Cat", "Like", "b", "Cat"), ("e", "New", "Like", "a", "Dog")]).edge
+    assert {r.pk: r.label for r in more.vertices.collect()}["a"] == "Person"
+    assert by_pk(store.open(1)) == by_pk(first)
+
+
+def test_nulls_become_empty_strings_and_an_empty_list_gives_an_empty_graph(spark, tmp_path):
+    assert by_pk(stored(spark, tmp_path / "a", [(None, None, None, "d", "Dog")])) == {("", 0, "", "d"): "Dog", ("d", 1, "", ""): ""}
+    empty = stored(spark, tmp_path / "b", [])
+    assert empty.vertices.count() == empty.edges.count() == 0
+    assert count(wcc.weak_component_count(empty)) == 0
+    assert count(reach.khop_count(empty, ["a"], 2, 3)) == 0
+
+
+def test_lookups(small):
+    assert sorted((r.place, r.pk, r.id) for r in lookups.vertex_ids(small, ["c", "zz", "a", "c"]).collect()) == [(0, "c", 2), (1, "zz", None), (2, "a", 0), (3, "c", 2)]
+    assert lookups.vertex_ids(small, []).count() == 0
+    assert {r.name for r in lookups.labels(small).collect()} == {"Person", "Dog", "Cat", ""}
+    assert {r.name for r in lookups.relations(small).collect()} == {"Like", "Hate", ""}
+    assert lookups.vertex_by_pk(small, "b").first().id == 1 and lookups.vertex_by_id(small, 1).first().pk == "b"
+    assert lookups.adjacency(small, "c", 1).count() == 2 and lookups.adjacency(small, "c", 1, "Like").count() == 1
+    lookups.resolve(small, ["a"], ["Dog"], ["Like"])
+    for bad in ((["x"], [], []), ([], ["x"], []), ([], [], ["x"])):
+        with pytest.raises(UnknownName):
+            lookups.resolve(small, *bad)
+
+
+def test_one_hop_writes_edges_in_their_direction(small):
+    def lines(*args):
+        return sorted(r.edge for r in neighbours.one_hop(small, *args).collect())
+
+    assert lines("b", 0) == ["b:Dog -> [Hate] -> c:Cat"]
+    assert lines("b", 1) == ["a:Dog -> [Like] -> b:Dog"]
+    assert lines("c", 2) == ["b:Dog -> [Hate] -> c:Cat", "c:Cat -> [Like] -> c:Cat", "c:Cat -> [Like] -> c:Cat"]
+    assert lines("b", 2, "Like") == ["a:Dog -> [Like] -> b:Dog"] and lines("b", 2, "") == lines("b", 2)
+    assert lines("d", 0) == []
+    with pytest.raises(GraphError):
+        neighbours.one_hop(small, "b", 3)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_graphs_against_the_simulation(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    names, labels, rels = [f"v{i}" for i in range(9)], ["A", "B", "C"], ["r", "s", "t"]
+    rows = [(rnd.choice(names), rnd.choice(labels), rnd.choice(rels), rnd.choice(names), rnd.choice(labels)) for _ in range(14)]
+    sim, graph = Graph(rows), stored(spark, tmp_path, rows)
+    some = lambda xs, most: [rnd.choice(xs) for _ in range(rnd.randint(0, most))]
+    for _ in range(4):
+        pks, k, d, rel, lab = some(list(sim.label), 3), rnd.randint(0, 4), rnd.randint(1, 4), some(rels, 3), some(labels, 2)
+        assert count(reach.khop_count(graph, pks, k, d, rel, lab)) == sim.khop(pks, k, d, rel, lab)
+        distinct = rnd.random() < 0.5
+        assert count(reach.walk_count(graph, pks, k, d, rel, lab, distinct)) == sim.walks(pks, k, d, rel, lab, distinct)
+        assert count(neighbours.common_neighbours(graph, pks, rel)) == sim.common(pks, rel)
+    for rel, lab in (([], []), (some(rels, 2), some(labels, 2))):
+        assert count(wcc.weak_component_count(graph, rel, lab)) == sim.wcc(rel, lab)
+    nodes = {v: some(labels, 3) or ["A"] for v in "abcd"[: rnd.randint(1, 4)]}
+    edges = [(rnd.choice(list(nodes)), rnd.choice(list(nodes)), some(rels, 3) or ["r"], rnd.choice(["OUT", "IN"])) for _ in range(rnd.randint(0, 4))]
+    assert count(matching.match_count(graph, Pattern(nodes, [PatternEdge(*e) for e in edges]))) == sim.match(nodes, edges)
+
+
+@pytest.mark.parametrize(
+    "nodes, edges, want",
+    [
+        ({}, [], 1),
+        ({"x": ["Dog"]}, [], 2),
+        ({"x": []}, [], 0),
+        ({"x": ["Dog"]}, [("x", "y", ["Like"], "OUT")], 0),
+        ({"x": ["Cat"]}, [("x", "x", ["Like"], "OUT")], 1),
+        ({"x": ["Person"], "y": ["Dog"]}, [("x", "y", ["Like"], "ANY")], 0),
+        ({"x": ["Person"], "y": ["Dog"]}, [("x", "y", [], "OUT")], 0),
+        ({"x": ["Person"], "y": ["Person"]}, [("x", "y", ["Like"], "OUT")], 0),  # labels come from vertices, not from edge rows
+        ({"x": ["Person"], "y": ["Dog"]}, [("y", "x", ["Like"], "IN")], 1),
+    ],
+)
+def test_pattern_corner_cases(small, nodes, edges, want):
+    assert count(matching.match_count(small, Pattern(nodes, [PatternEdge(*e) for e in edges]))) == want
+
+
+def test_weights_beyond_38_digits_raise(spark, tmp_path):
+    rows = [("a", "A", f"r{i}", "a", "A") for i in range(10)]
+    graph = stored(spark, tmp_path, rows)
+    assert count(reach.walk_count(graph, ["a"], 18, 1)) == 10**18
+    with pytest.raises(PySparkException):
+        count(reach.walk_count(graph, ["a"], 40, 1))
+
+
+def test_components_of_a_long_path_a_hub_and_odd_edges(spark):
+    path = [(i, i + 1) for i in range(200)]
+    hub = [(1000, i) for i in range(1001, 1400)]
+    rows = [*path, *hub, (5000, 5000), (None, 3), (3, None), (1, 0), (0, 1)]
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1400)}
+    assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_elimination_takes_leaves_first():
+    order = elimination_order("abcd", [frozenset("ab"), frozenset("bc"), frozenset("cd"), frozenset("bd")], {})
+    assert order[0] == "a"
+
+
+def test_edge_list_numbers_rows_in_order(spark):
+    df = spark.createDataFrame([(i * 37 % 100, *SMALL[0]) for i in range(100)], "at long, " + ", ".join(f"{c} string" for c in EDGE_LIST)).repartition(7)
+    assert sorted(r.row_no for r in ingest.edge_list(df, ["at"]).collect()) == list(range(100))
