@@ -28,8 +28,11 @@ from vertexloom.functions.arrow import slices, with_columns
 from vertexloom.functions.shared import broadcast_if_small, materialize, scratch_path
 from vertexloom.llm.rows import BROADCAST_ROWS, located, without
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State is on disk; a task closes its store when it has committed, so open stores don't add up in an executor's memory and disk.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 FILES_PER_TRIGGER = 1000
 
 
@@ -38,9 +41,9 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def arrivals(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """Rows (doc_id, _file, _row, digest, sha256) of ``docs``, which has locators. The digest is the start of the SHA-256."""
-    keep = ["doc_id", "_file", "_row"]
+def arrivals(rows: DataFrame, digest_bytes: int = 32) -> DataFrame:
+    """Rows (doc_id, _file, _row, digest, sha256) of located rows. The digest is the start of the SHA-256."""
+    keep, docs = ["doc_id", "_file", "_row"], rows.select("d.doc_id", "d.text", "_file", "_row")
     fields = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +64,9 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, files_per_trigge
 
     A later call with the same checkpoint takes in only files that are new.
     """
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         schema = spark.read.parquet(path).schema
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -71,13 +75,14 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, files_per_trigge
         query.awaitTermination()
         held = spark.read.format("statestore").load(checkpoint)
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     value = held.schema["value"].dataType.fieldNames()
     return held.select("key.digest", F.col(f"value.`{value[-2]}`").alias("keep"), F.col(f"value.`{value[-1]}`").alias("group_size"))
 
 
 def decide(docs: DataFrame, digest_bytes: int = 32, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """One row per row of ``docs``, which has locators: doc_id, _file, _row, sha256, keep (of the row that stays), group_size."""
+    """One row per located row: doc_id, _file, _row, sha256, keep (of the row that stays), group_size."""
     spark = docs.sparkSession
     path = scratch_path(spark, "dedup-arrivals")
     arrivals(docs, digest_bytes).write.parquet(path)
@@ -98,7 +103,7 @@ def _collided(docs: DataFrame, seen: DataFrame, state: DataFrame) -> DataFrame:
     hits = broadcast_if_small(state.filter("group_size > 1").select("digest"), BROADCAST_ROWS)
     rows = materialize(seen.join(hits, "digest", "left_semi"), "dedup-hits")
     where = broadcast_if_small(rows.select("_file", "_row", "digest", "sha256"), BROADCAST_ROWS)
-    texts = docs.select("doc_id", "_file", "_row", normalised(F.col("text")).alias("_text")).join(where, ["_file", "_row"])
+    texts = docs.select("d.doc_id", "_file", "_row", normalised(F.col("d.text")).alias("_text")).join(where, ["_file", "_row"])
     ends = texts.groupBy("digest").agg(F.min("_text").alias("first"), F.max("_text").alias("last"))
     different = materialize(ends.filter(F.col("first") != F.col("last")).select("digest"), "dedup-collided")
     return materialize(texts.join(broadcast_if_small(different, BROADCAST_ROWS), "digest", "left_semi"), "dedup-exact") if not different.isEmpty() else texts.limit(0)

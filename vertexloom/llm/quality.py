@@ -125,13 +125,14 @@ def score(array: Column, ratios: list[float]) -> Column:
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """``docs`` with the base counts, base_failed, score and kept.
+    """One row per document: doc_id, the base counts, base_failed, score and kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated
     windows. kept: not base_failed, and score at or above the threshold.
     """
+    docs = docs.select("doc_id", "text")
     ratios = log_ratios(docs, labels, buckets, max_trusted)
     out = with_base_counts(docs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "score": score(F.col("_words"), ratios)})
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))).drop("_words")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))).drop("_words", "text")

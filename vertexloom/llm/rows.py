@@ -13,18 +13,20 @@ BROADCAST_ROWS = 500_000
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_file``, a 64-bit hash of the file's path, and ``_row``, the row's place in it.
+    """Rows (d, _file, _row): ``d`` holds all columns, whatever their names, ``_file`` is a 64-bit hash of the file's path, ``_row`` the row's place in it.
 
     The two name a row's content for good. Tables that do not come straight
     from files are written to the shared folder first.
     """
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d")
     try:
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        at = docs.metadataColumn("_metadata")
+        return docs.select(own, F.xxhash64(at["file_path"]).alias("_file"), at["row_index"].alias("_row"))
     except AnalysisException:
         return located(materialize(docs, "located"))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs``, which has locators, that are not among the locators of ``dropped`` (a written table); locators go."""
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of located rows that are not among the locators of ``dropped`` (a written table)."""
     out = broadcast_if_small(dropped.select("_file", "_row"), BROADCAST_ROWS)
-    return docs.join(out, ["_file", "_row"], "left_anti").drop("_file", "_row")
+    return rows.join(out, ["_file", "_row"], "left_anti").select("d.*")

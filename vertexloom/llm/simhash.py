@@ -12,7 +12,7 @@ comparison in the JVM, buckets up to ``FULL`` classes by comparing them with
 each other in memory, giving a forest and not all pairs. Larger buckets are
 covered again over the bits that their mask leaves free; that is as exact, and
 as each level fixes over half of the free bits and classes are distinct, three
-levels leave at most 128 classes to a bucket.
+levels leave 8 free bits and so at most 256 classes to a bucket.
 
 Defined cases: a null or empty text has the fingerprint zero and is linked
 like any other; a text of one or two words is its own only shingle; equal rows
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.arrow import slices, with_columns
 from vertexloom.functions.shared import broadcast_if_small, materialize
-from vertexloom.llm.rows import located
+from vertexloom.llm.rows import located, without
 from vertexloom.llm.sharding import lookup
 from vertexloom.operators.components import connected_components
 
@@ -168,12 +168,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, full: int = FULL) -> DataFr
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("rep").alias("component_id"))
 
 
-def dropped_rows(docs: DataFrame, width: int = 3, full: int = FULL) -> DataFrame:
-    """Locators of the rows that go when one row of each component, the one with the least doc_id, stays.
+def dropped_rows(rows: DataFrame, width: int = 3, full: int = FULL) -> DataFrame:
+    """Locators of the located rows that go when one row of each component, the one with the least doc_id, stays.
 
-    ``docs`` has locators. Rows of one id are told apart by their locators.
+    Rows of one id are told apart by their locators.
     """
-    prints = materialize(fingerprints(docs, ["doc_id", "_file", "_row"], width), "simhash-prints")
+    narrow = rows.select("d.doc_id", "d.text", "_file", "_row")
+    prints = materialize(fingerprints(narrow, ["doc_id", "_file", "_row"], width), "simhash-prints")
     # Nulls come last: an id is preferred to none.
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
     named = class_components(prints, own, full)
@@ -183,7 +184,5 @@ def dropped_rows(docs: DataFrame, width: int = 3, full: int = FULL) -> DataFrame
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with one row of each component; all columns stay."""
-    from vertexloom.llm.rows import without
-
     rows = located(docs)
     return without(rows, dropped_rows(rows, width))
