@@ -44,10 +44,12 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.tails = {b[i:] for b in ranks for i in range(len(b))}
+        self.heads = {b[:i] for b in ranks for i in range(len(b) + 1)}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._fallen: dict[bytes, bytes] = {}
+        self._endings: dict[bytes, tuple[tuple[int, int], ...]] = {}
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -89,6 +91,29 @@ class Vocabulary:
             self._edges[key] = out[::-1]
         return self._edges[key]
 
+    def step(self, head: bytes, byte: bytes) -> bytes:
+        """The longest end of ``head + byte`` that begins a token, ``head`` being the longest such end before."""
+        grown = head + byte
+        if grown in self.heads:
+            return grown
+        found = self._fallen.get(grown)
+        if found is None:
+            if len(self._fallen) > CACHE_SIZE:
+                self._fallen.clear()
+            found = grown
+            while found not in self.heads:
+                found = found[1:]
+            self._fallen[grown] = found
+        return found
+
+    def endings(self, head: bytes) -> tuple[tuple[int, int], ...]:
+        """(size, token) of the tokens that end ``head`` and that merging gives, the longest first."""
+        found = self._endings.get(head)
+        if found is None:
+            ends = ((len(head) - i, self.ranks.get(head[i:])) for i in range(len(head)))
+            found = self._endings[head] = tuple((n, t) for n, t in ends if t is not None and self.made(t))
+        return found
+
     def follows(self, a: int, b: int) -> bool:
         """Whether b may come right after a in an encoding."""
         found = self._pairs.get((a, b))
@@ -125,8 +150,8 @@ class PrefixTable:
     def append(self, data: bytes) -> None:
         """Add bytes at the end; stored tokens stay as they are."""
         self.data += data
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        for token in self._lasts(len(self.last)):
+            self.last.append(token)
 
     def splice(self, start: int, stop: int, new: bytes) -> int:
         """Replace ``data[start:stop]``; returns how many prefixes had to be looked at."""
@@ -134,8 +159,8 @@ class PrefixTable:
         self.data = self.data[:start] + new + self.data[stop:]
         self.last = old_last[:start]
         same = 0
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        for end, token in enumerate(self._lasts(start), start + 1):
+            self.last.append(token)
             before = end - 1 - shift
             same = same + 1 if end > start + len(new) and before >= stop and old_last[before] == self.last[-1] else 0
             if same >= self.vocabulary.longest:
@@ -143,20 +168,20 @@ class PrefixTable:
                 return end - start
         return len(self.data) - start
 
-    def _last(self, end: int) -> int:
-        v, data = self.vocabulary, self.data
-        found = []
-        for size in range(1, min(end, v.longest) + 1):
-            tail = data[end - size : end]
-            if tail not in v.tails:
-                break
-            token = v.ranks.get(tail)
-            if token is not None and v.made(token):
-                found.append((size, token))
-        for size, token in reversed(found):
-            if size == end or v.follows(self.last[end - size - 1], token):
-                return token
-        raise AssertionError("no token ends this prefix")
+    def _lasts(self, start: int) -> Iterator[int]:
+        """Last tokens of the prefixes longer than ``start``, in order; each is to be stored before the next is taken."""
+        v, data, last = self.vocabulary, self.data, self.last
+        head = b""
+        for at in range(max(0, start - v.longest), len(data)):
+            head = v.step(head, data[at : at + 1])
+            if at < start:
+                continue
+            for size, token in v.endings(head):
+                if size > at or v.follows(last[at - size], token):
+                    yield token
+                    break
+            else:
+                raise AssertionError("no token ends this prefix")
 
     def tokens(self) -> list[int]:
         """The encoding, by walking back from the end."""
