@@ -102,6 +102,24 @@ def test_counts_are_those_of_the_library(table, monkeypatch, cache):
     assert token_counts.count_tokens(table([]), JSON).count() == 0
 
 
+def test_the_first_tier_counts_all_documents(table, monkeypatch):
+    once = ["q" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(2000)]
+    rows = [(i, "often seldom" if i % 2 else f"often {once[i]}") for i in range(2000)]
+    docs = table([*rows, (9999, None), (9998, ""), (9997, "z" * 100)], files=5)
+    got = token_counts.frequent_lengths(docs, JSON, size=2)
+    assert set(got) == {"often", " seldom"} and all(got[p] == token_counts.lengths(JSON, [p])[0] for p in got)
+    assert "z" * 100 not in token_counts.frequent_lengths(docs, JSON)
+    monkeypatch.setattr(token_counts, "SUMMARY_SIZE", 1)
+    assert set(token_counts.frequent_lengths(docs, JSON)) == {"often"}
+    assert token_counts.frequent_lengths(table([]), JSON) == {}
+
+
+def test_a_full_summary_keeps_what_is_frequent():
+    seen = Counter({"a": 50, "b": 3, "c": 1, "d": 1, "e": 1})
+    assert token_counts.lightened(seen) == {"a": 49, "b": 2}
+    assert token_counts.lightened(Counter("abc")) == {}
+
+
 def slow_verdict(url, rules, default="allow"):
     host = path = ""
     if url and "://" in url:
