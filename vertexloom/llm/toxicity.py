@@ -6,7 +6,9 @@ that hide letters behind other signs. The lexicon is a fixed list of insults
 and the words that the learning rows show to be far more common in toxic
 documents, with its beginnings of words, as insults take endings. Trees are grown by histograms on the logistic loss on three
 quarters of the learning sample; on the rest, isotonic regression turns their
-sum into a probability. Learning takes a bounded sample of labelled rows:
+sum into a probability. A document that trees are grown on is measured with
+words learned without its quarter, as words learned from itself would give its
+label away. Learning takes a bounded sample of labelled rows:
 ``MAX_POSITIVE`` toxic and ``MAX_NEGATIVE`` other documents, the first in a
 hash order of ids, weighted to stand for all.
 
@@ -271,11 +273,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), part)
     rows = materialize(own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", F.col("toxic").cast("int").alias("toxic"), "weight", "fold"), "toxicity-sample")
     learned = lexicon_of(rows.filter("fold != 0"))
-    lexicon = Lexicon(*learned)
+    lexicons = {0: Lexicon(*learned)} | {k: Lexicon(*lexicon_of(rows.filter(~F.col("fold").isin(0, k)))) for k in (1, 2, 3)}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = [lexicon.features(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            x = [lexicons[k].features(t) for t, k in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("fold").to_pylist(), strict=True)]
             yield with_columns(batch, ["toxic", "weight", "fold"], x=pa.array(x, pa.list_(pa.float64())))
 
     got = rows.mapInArrow(measured, "toxic int, weight double, fold int, x array<double>").toArrow()
