@@ -124,6 +124,29 @@ def test_quality_scores_equal_a_count_by_hand(spark, table):
     assert {r.doc_id: r.s for r in got} == pytest.approx({i: sum(ratios[b] for b in f) / len(f) if f else None for i, f in seen.items()})
 
 
+def test_quality_threshold_follows_the_labels(spark, table):
+    # Of low quality are texts with some junk among good words: closer to good ones than any fixed loose bound.
+    def mixed(i):
+        return prose(EN, i, 78) + " " + prose([f"junk{j}" for j in range(6)], i, 4)
+
+    docs = table([*((i, prose(EN, i, 80)) for i in range(200)), *((1000 + i, mixed(i)) for i in range(100))])
+    labels = spark.createDataFrame([*((i, 1, 0) for i in range(100)), *((1000 + i, 0, 0) for i in range(50))], "doc_id long, quality int, toxic int")
+    got = quality.judge_quality(docs, labels, buckets=1024).collect()
+    assert not any(r.base_failed for r in got)
+    loose = quality.judge_quality(docs, labels, threshold=quality.THRESHOLD, buckets=1024).collect()
+    assert sum(r.kept for r in loose if r.doc_id >= 1000) > 50
+    assert sum(r.kept for r in got if r.doc_id >= 1000) <= 10 and sum(r.kept for r in got if r.doc_id < 1000) >= 190
+
+
+def test_parting_takes_the_middle_of_the_widest_gap_of_least_loss(spark):
+    rows = [(1, False, -0.9), (2, False, -0.5), (3, False, -0.1), (4, False, 0.2), (5, True, 0.3), (6, False, None), (7, False, -2.0), (None, False, 0.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, base_failed boolean, apart double")
+    labels = lambda *q: spark.createDataFrame([(i, x, 0) for i, x in q], "doc_id long, quality int, toxic int")
+    assert quality.parting(scored, labels((1, 0), (2, 0), (3, 1), (4, 1), (5, 0), (3, 0), (None, 0))) == pytest.approx(-0.2995, abs=1e-3)
+    assert quality.parting(scored, labels((1, 1), (4, 0))) == pytest.approx(-0.9, abs=1e-3)
+    assert quality.parting(scored, labels((1, 0), (5, 1))) == quality.parting(scored, labels()) == quality.THRESHOLD
+
+
 def test_isotonic_fit_is_the_best_non_decreasing_one():
     rnd = np.random.default_rng(4)
     margin, y, w = np.round(rnd.normal(size=60), 1), rnd.integers(0, 2, 60).astype(float), rnd.integers(1, 4, 60).astype(float)
