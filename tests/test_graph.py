@@ -8,6 +8,8 @@ from vertexloom.model import EDGE_LIST, GraphError, UnknownName
 from vertexloom.operators import ingest, lookups, matching, neighbours, reach, wcc
 from vertexloom.operators.components import connected_components
 from vertexloom.plans.patterns import Pattern, PatternEdge, elimination_order
+from vertexloom.plans.views import VIEWS
+from vertexloom.queries import QUERIES
 from vertexloom.sources.store import GraphStore
 
 SMALL = [
@@ -159,3 +161,11 @@ def test_elimination_takes_leaves_first():
 def test_edge_list_numbers_rows_in_order(spark):
     df = spark.createDataFrame([(i * 37 % 100, *SMALL[0]) for i in range(100)], "at long, " + ", ".join(f"{c} string" for c in EDGE_LIST)).repartition(7)
     assert sorted(r.row_no for r in ingest.edge_list(df, ["at"]).collect()) == list(range(100))
+
+
+def test_queries_over_all_order_lines(spark):
+    sf = "/root/testdata/sf0.001"
+    assert VIEWS["orders"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    # The counts of the SQL that _components makes, which ends at this scale.
+    for name, want in (("wcc_all_orders", 1), ("wcc_rel_orders", 393), ("khop_k3_both_orders", 1653)):
+        assert count(QUERIES[name](spark, sf)) == want

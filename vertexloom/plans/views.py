@@ -28,9 +28,11 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_edges(spark: SparkSession, sf_dir: str, quantity: int) -> DataFrame:
-    """Orders tied to the parts of their large lines: sparse, with many components."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_quantity") >= quantity)
+def order_edges(spark: SparkSession, sf_dir: str, quantity: int | None = None) -> DataFrame:
+    """Orders tied to the parts of their lines: all lines, with hubs and a giant component, or large ones only, sparse and with many components."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if quantity is not None:
+        lines = lines.filter(F.col("l_quantity") >= quantity)
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     return dense_index(lines.select(*order, "l_returnflag"), order, "row_no", 1).select(
         "row_no",
@@ -69,6 +71,7 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VIEWS = {
     "events": event_edges,
+    "orders": order_edges,
     "orders50": lambda spark, sf_dir: order_edges(spark, sf_dir, 50),
     "orders48": lambda spark, sf_dir: order_edges(spark, sf_dir, 48),
     "star": star_edges,
