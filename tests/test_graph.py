@@ -64,6 +64,13 @@ def test_merge_keeps_vertices_and_replaces_edge_labels(spark, tmp_path):
     assert by_pk(store.open(1)) == by_pk(first)
 
 
+def test_merge_into_a_graph_of_one_vertex_goes_on_after_its_id(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path))
+    store.add(raw(spark, [("only", "A", "r", "only", "A")]))
+    grown = store.add(raw(spark, [("a", "A", "r", "b", "B"), ("only", "X", "r", "a", "A")]))
+    assert {r.pk: (r.id, r.label) for r in grown.vertices.collect()} == {"only": (0, "A"), "a": (1, "A"), "b": (2, "B")}
+
+
 def test_nulls_become_empty_strings_and_an_empty_list_gives_an_empty_graph(spark, tmp_path):
     assert by_pk(stored(spark, tmp_path / "a", [(None, None, None, "d", "Dog")])) == {("", 0, "", "d"): "Dog", ("d", 1, "", ""): ""}
     empty = stored(spark, tmp_path / "b", [])

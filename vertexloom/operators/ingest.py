@@ -49,7 +49,8 @@ def merge(graph: PropertyGraph | None, raw: DataFrame) -> PropertyGraph:
     raw = raw.fillna("", list(EDGE_LIST))
     met, start = first_seen(raw), 0
     if graph:
-        start = (graph.vertices.agg(F.max("id")).first()[0] or -1) + 1 if not graph.vertices.isEmpty() else 0
+        last = graph.vertices.agg(F.max("id")).first()[0]
+        start = 0 if last is None else last + 1
         met = met.join(graph.vertices.select("pk"), "pk", "left_anti")
     new = dense_index(met, ["seen"], "id", start).select("id", "pk", "label")
     vertices = materialize(graph.vertices.unionByName(new) if graph else new, "vertices")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.model import PropertyGraph
+from vertexloom.model import RAW, PropertyGraph
 from vertexloom.operators import ingest, lookups, matching, neighbours, reach, wcc
 from vertexloom.plans.patterns import Pattern, PatternEdge
 from vertexloom.plans.views import VIEWS, stored_graph
@@ -109,6 +109,14 @@ def _ingests() -> None:
     QUERIES["ingest_merge_vertices"] = lambda spark, sf_dir: _vertices(merged(spark, sf_dir))
     ORACLE_SQL["ingest_merge_vertices"] = ORACLE_SQL["ingest_vertices_events"]
     QUERIES["ingest_merge_edges"] = lambda spark, sf_dir: (lambda g: _by_pk(g, g.edges))(merged(spark, sf_dir))
+
+    def grown_from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lone = spark.createDataFrame([(0, "lone", "Lone", "self", "lone", "Lone")], RAW)
+        return _vertices(ingest.merge(ingest.build(lone), VIEWS["events"](spark, sf_dir)))
+
+    # A graph whose greatest id is 0 grows as any other.
+    QUERIES["ingest_merge_one_vertex"] = grown_from_one
+    ORACLE_SQL["ingest_merge_one_vertex"] = f"{_with('events')} SELECT 0::BIGINT AS id, 'lone' AS pk, 'Lone' AS label UNION ALL SELECT row_number() OVER (ORDER BY seen), pk, label FROM vertex"
     ORACLE_SQL["ingest_merge_edges"] = ORACLE_SQL["ingest_edges_events"]
 
 
