@@ -7,26 +7,86 @@ machine-local path unless that setting is absent (tests, a laptop session).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, NumericType, StringType
+
+#: Largest side that is broadcast, in bytes of its values and ROW_BYTES for each row.
+MAX_BROADCAST, ROW_BYTES = 16 << 20, 16
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
+    """The session's checkpoint folder; a temporary one only where none is set and all tasks run in this process."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vertexloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vertexloom-"))
         found = sc.getCheckpointDir()
     return str(found)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scope:
+    """The scratch tables of a step; ``keep`` writes one that outlives it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+        out = materialize(df, name)
+        self.kept.add(_paths[out])
+        return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scope]:
+    """Remove what is written to fresh paths inside the block when it ends, but for what the scope keeps."""
+    scope, mine = Scope(spark), []
+    _scopes.append(mine)
+    try:
+        yield scope
+    finally:
+        _scopes.pop()
+        for path in mine:
+            if path not in scope.kept:
+                remove(spark, path)
+            elif _scopes:
+                _scopes[-1].append(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -38,14 +98,34 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST) -> DataFrame:
+    """``df`` with a broadcast hint if its values take at most ``max_bytes``, else as it is.
 
-    ``df`` must be cheap to scan (a materialized or literal table): its rows
-    are counted, up to one more than the bound. Without the hint Spark joins by
-    shuffle, and adaptive execution splits skewed keys.
+    ``df`` must be cheap to scan (a written or literal table): rows and the
+    bytes of all values are summed. Without the hint Spark joins by shuffle,
+    and adaptive execution splits skewed keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.lit(ROW_BYTES)
+    for f in df.schema.fields:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StringType | BinaryType):
+            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(f.dataType, NumericType | BooleanType):
+            size = size + 8
+        else:
+            size = size + F.coalesce(F.octet_length(value.cast("string")), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= max_bytes else df
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet table is at a path."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True

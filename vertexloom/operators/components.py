@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.functions.shared import materialize
+from vertexloom.functions.shared import discard, materialize
 
 MAX_ROUNDS = 100
 
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if seen[0] == 0:
             break
-        now = materialize(_small_star(_large_star(now)), "components")
+        last, now = now, materialize(_small_star(_large_star(now)), "components")
+        discard(last)
         before, seen = seen, _signature(now)
         if seen == before:
             break
