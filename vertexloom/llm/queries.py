@@ -80,7 +80,8 @@ _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE_SQL = {
     "op1_mixing": rf"""
-        WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size,
+                          coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '') || ':' || (row_number() OVER (PARTITION BY source, doc_id, md5(text)) - 1) AS key FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
                      source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM s),
@@ -89,7 +90,7 @@ ORACLE_SQL = {
               FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
         t AS (SELECT *, least(cap, weight * coalesce((SELECT min_by(part, place) FROM f WHERE part * weight < cap), cap)) AS target FROM f),
         r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                     ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+                     ('0x' || substr(md5('17:' || key), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         c AS (SELECT *, (floor(rate) + (u < rate - floor(rate))::INT)::BIGINT AS copies FROM r)
         SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM c
