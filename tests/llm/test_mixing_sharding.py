@@ -3,8 +3,9 @@ from collections import Counter, defaultdict
 
 import pytest
 from odd_rows import ODD, WORDS
+from pyspark.sql import functions as F
 
-from vertexloom.llm import mixing, sharding
+from vertexloom.llm import mixing, ordinals, sharding
 
 
 def water(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
@@ -60,12 +61,37 @@ def _sized(texts):
     return out
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_rows_without_ids_and_repeated_rows_have_draws_of_their_own(table, same):
+    """A third of the rows is one repeated row, and no row has an id."""
+    rows = [(None, "one two" if same and i % 3 == 0 else f"w{i} x", "en", f"s{i % 3}") for i in range(3000)]
+    plan = mixing.mixing_plan(table(rows, files=4)).collect()
+    again = mixing.mixing_plan(table(rows, files=1)).collect()
+    assert sorted(map(str, plan)) == sorted(map(str, again)) and len(plan) == len(rows)
+    taken, target = Counter(), {}
+    for r in plan:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for s in target:
+        assert taken[s] == pytest.approx(target[s], rel=0.05)
+    assert mixing.mix(table(rows)).count() == sum(r.copies for r in plan)
+
+
+def test_ordinals_number_equal_rows(spark, table):
+    rows = [(i % 5 if i % 7 else None, "t" * (i % 2)) for i in range(400)] + [(1000 + i, "u") for i in range(50)]
+    got = defaultdict(list)
+    for r in ordinals.with_ordinal(table(rows, files=6), ["doc_id", "text"]).collect():
+        got[r.doc_id, r.text].append(r.ordinal)
+    assert {k: len(v) for k, v in got.items()} == Counter(rows)
+    assert all(sorted(v) == list(range(len(v))) for v in got.values())
+
+
 def test_empty_mix(table):
     assert mixing.mixing_plan(table([])).count() == 0 and mixing.mix(table([])).count() == 0
 
 
 def test_draws_are_even(spark):
-    u = [r.u for r in spark.range(20000).select(mixing.draw(spark.range(1).id, 17).alias("u")).collect()]
+    u = [r.u for r in spark.range(20000).select(mixing.draw(F.col("id").cast("string"), 17).alias("u")).collect()]
     assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / len(u) - 0.5) < 0.01
 
 
@@ -88,6 +114,7 @@ def test_every_row_has_a_place_in_a_shard(table):
 def test_map_versions(spark, table, tmp_path):
     docs, path = table([(i, "x" * (i % 90)) for i in range(2000)]), str(tmp_path / "map")
     sharding.SlotMap.first(64, 4).save(spark, path)
+    assert sharding.shard_documents(docs, shards=4, slots=64, map_path=str(tmp_path / "new")).first().map_version == 2
     sharding.shard_documents(docs, shards=4, slots=64, map_path=path)
     second = sharding.SlotMap.load(spark, path)
     assert second.version == 2 and sharding.SlotMap.load(spark, path, 1) == sharding.SlotMap.first(64, 4)
@@ -98,3 +125,40 @@ def test_map_versions(spark, table, tmp_path):
     assert sharding.SlotMap.load(spark, path, 2) == second
     shrunk = grown.rebalanced([1] * 64, 3)
     assert set(shrunk.shard_of) == {0, 1, 2}
+
+
+def slow_slot(spark, r, ordinal, slots):
+    """The slot of one record, by Spark's hash of its literal values."""
+    key = [F.lit(r.doc_id).cast("long"), F.lit(r["size"]).cast("long"), F.lit(r.text_crc32).cast("long"), F.lit(ordinal).cast("long")]
+    return spark.range(1).select(F.pmod(F.xxhash64(*key), F.lit(slots))).first()[0]
+
+
+def test_the_map_by_hand(spark, table, tmp_path):
+    """Each row's shard is the map's for its slot, and the map's bytes per slot are those of the rows."""
+    docs, path = table([(i, "y" * (i * 31 % 97)) for i in range(40)]), str(tmp_path / "map")
+    rows = sharding.shard_documents(docs, shards=3, slots=16, map_path=path).collect()
+    stored = sharding.SlotMap.load(spark, path)
+    size = [0] * 16
+    for r in rows:
+        slot = slow_slot(spark, r, 0, 16)
+        assert (r.virtual_slot, r.shard) == (slot, stored.shard_of[slot])
+        size[slot] += r["size"]
+    assert stored == sharding.SlotMap.first(16, 3).rebalanced(size, 3)
+    held = [sum(n for n, s in zip(size, stored.shard_of) if s == k) for k in range(3)]
+    # No move or swap between two shards brings them closer.
+    for a in range(3):
+        for b in range(3):
+            gap = held[a] - held[b]
+            for i in [i for i in range(16) if stored.shard_of[i] == a]:
+                for n in [0, *(size[j] for j in range(16) if stored.shard_of[j] == b)]:
+                    assert gap <= 1e-4 * sum(size) / 3 or abs(gap - 2 * (size[i] - n)) >= gap
+
+
+def test_rows_without_ids_spread_over_shards(table):
+    """A third of the rows is one repeated row, and no row has an id."""
+    rows = [(None, "abc" if i % 3 == 0 else f"text {i}") for i in range(6000)]
+    got = sharding.shard_documents(table(rows, files=4)).collect()
+    size = Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+    assert len(got) == len(rows) and len(size) == 16 and max(size.values()) - min(size.values()) <= 0.005 * sum(size.values()) / 16
