@@ -7,7 +7,7 @@ import xxhash
 from odd_rows import ODD, WORDS
 from pyspark.sql import functions as F
 
-from vertexloom.llm import exact_dedup, simhash
+from vertexloom.llm import exact_dedup, rows, simhash
 
 
 def ascii_lower(text):
@@ -133,3 +133,50 @@ def test_state_takes_in_later_arrivals(spark, table, tmp_path):
         exact_dedup.arrivals(exact_dedup.located(table(rows))).write.mode("append").parquet(path)
         groups = exact_dedup.run_stream(spark, path, state).collect()
     assert sorted((r.keep.doc_id, r.group_size) for r in groups) == [(2, 1), (5, 1), (9, 2)]
+
+
+def test_frames_that_repeat_rows(spark, table):
+    """Rows of one place in a file that come more than once are rows of their own, from whatever frame."""
+    docs = table([(1, "same"), (2, "SAME"), (3, "other")], extra=True)
+    twice = docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
+    joined = docs.join(spark.range(2), how="cross").drop("id")
+    sampled = docs.sample(withReplacement=True, fraction=4.0, seed=1)
+    for df in (twice, joined, docs.unionByName(docs), sampled, docs.filter(F.rand(3) < 2)):
+        rows = df.collect()
+        want = Counter(ascii_lower(r.text) for r in rows)
+        got = exact_dedup.exact_duplicates(df).collect()
+        sha = {hashlib.sha256(t.encode()).hexdigest(): n for t, n in want.items()}
+        assert len(got) == len(rows) and all(r.group_size == sha[r.text_sha256] for r in got)
+        assert Counter(r.text_sha256 for r in got if r.kept) == Counter(list(sha))
+        assert Counter(ascii_lower(r.text) for r in exact_dedup.drop_exact_duplicates(df).collect()) == Counter(list(want))
+        assert simhash.drop_near_duplicates(df).count() == len(want)
+
+
+def test_only_scans_of_different_files_are_taken_as_they_are(spark, table):
+    docs = table(ODD)
+    assert rows.straight(docs) and rows.straight(docs.filter("doc_id > 1").select("doc_id", "text").alias("x"))
+    path = docs.inputFiles()[0].rsplit("/", 1)[0]
+    for df in (docs.union(docs), docs.sample(0.5), docs.limit(3), docs.filter(F.rand() < 0.5), spark.range(3), spark.read.parquet(path, path)):
+        assert not rows.straight(df)
+
+
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_state_is_kept_between_calls(spark, table, tmp_path, digest_bytes):
+    """Later documents are held against earlier ones; with short digests bytes are fetched from the earlier files."""
+    state = str(tmp_path / "state")
+    first = [(i, f"Text {i % 200}") for i in range(300)]
+    later = [(1000 + i, f"text {i % 350}") for i in range(400)]
+    exact_dedup.exact_duplicates(table(first), digest_bytes, state=state).count()
+    docs = table(later)
+    for _ in range(2):  # the second call brings nothing new
+        got = exact_dedup.exact_duplicates(docs, digest_bytes, state=state).collect()
+        size, keep = Counter(ascii_lower(t) for _, t in first + later), {}
+        for i, t in first + later:
+            keep[ascii_lower(t)] = max(i, keep.get(ascii_lower(t), -1))
+        sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in size}
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in later)
+        for r in got:
+            t = sha[r.text_sha256]
+            assert (r.group_size, r.keep_id, r.kept) == (size[t], keep[t], r.doc_id == keep[t])
+    old = spark.createDataFrame([(1, "text 3"), (2, "new one")], "doc_id long, text string").union(spark.createDataFrame([(3, "NEW one")], "doc_id long, text string"))
+    assert [r.doc_id for r in exact_dedup.drop_exact_duplicates(old, state=str(tmp_path / "state32")).collect()] and {r.doc_id for r in exact_dedup.drop_exact_duplicates(table([(5, "New One"), (6, "x")]), state=str(tmp_path / "state32")).collect()} == {5, 6}

@@ -41,8 +41,6 @@ BITS = 64
 SEED = 42
 #: Largest bucket whose members are compared with each other in memory.
 FULL = 1024
-#: Buckets up to this many are broadcast to find their members.
-BROADCAST_BUCKETS = 100_000
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -117,12 +115,12 @@ def _keyed(rows: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def _members(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
-    own = broadcast_if_small(buckets.select("bucket", "key"), BROADCAST_BUCKETS)
+    own = broadcast_if_small(buckets.select("bucket", "key"))
     return keyed.join(own, ["bucket", "key"], "left_semi").select("fp", "bucket")
 
 
 def _within(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
-    own = broadcast_if_small(buckets.select("bucket", "key"), BROADCAST_BUCKETS)
+    own = broadcast_if_small(buckets.select("bucket", "key"))
     lists = keyed.join(own, ["bucket", "key"], "left_semi").groupBy("bucket", "key").agg(F.collect_list("fp").alias("fps"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
