@@ -12,7 +12,10 @@ is predicted. All of a text's bytes are scored, by table look-up: costs are
 computed once for each different run of bytes and kept by the worker.
 
 The trees are fitted on a bounded sample of the learning rows: per language
-about ``MAX_BYTES`` of text, of documents chosen by a hash of their ids.
+the texts whose hash is below what lets about ``MAX_BYTES`` pass, less where
+many languages share ``TOTAL_BYTES``, and the text with the least hash always,
+however long; so each language with a learning row is learned. If that leaves
+more than ``MAX_RUNS`` different runs, those with the lowest counts go.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 languages with equal code lengths: the first in order; learning rows with null
@@ -34,13 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.arrow import slices, with_columns
+from vertexloom.functions.shared import broadcast_if_small, materialize
 
 #: Longest context; a context and its byte fit 32 bits.
 ORDER = 3
-MAX_BYTES = 8 << 20
-#: Bytes scored at a time, and slots of the worker's table of costs.
+#: Bounds of the sample, for a language and for all, and of the model that driver and workers hold: 16 bytes a run.
+MAX_BYTES, TOTAL_BYTES, MAX_RUNS = 8 << 20, 32 << 20, 8 << 20
+#: Bytes scored at a time, and slots of the worker's table of costs; fewer with many languages, as each adds a cost to both.
 CHUNK = 1 << 20
 SLOT_BITS = 20
+COSTS = 1 << 22
 UNKNOWN = "und"
 #: What stands before a text's first byte.
 PAD = bytes(ORDER)
@@ -113,15 +119,15 @@ def runs_of(texts: list[bytes], before: list[bytes] | None = None) -> tuple[np.n
     return runs[own], first
 
 
-def parts(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bytes]]]:
-    """(place of the text, bytes before, bytes) that make up the texts, in lists of about CHUNK bytes."""
+def parts(texts: list[bytes], chunk: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """(place of the text, bytes before, bytes) that make up the texts, in lists of about ``chunk`` bytes."""
     out, size = [], 0
     for i, text in enumerate(texts):
-        for at in range(0, len(text), CHUNK):
-            piece = text[at : at + CHUNK]
+        for at in range(0, len(text), chunk):
+            piece = text[at : at + chunk]
             out.append((i, text[at - ORDER : at] if at else PAD, piece))
             size += len(piece)
-            if size >= CHUNK:
+            if size >= chunk:
                 yield out
                 out, size = [], 0
     if out:
@@ -134,19 +140,22 @@ class Model:
     def __init__(self, learned: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(learned)
         self.trees = [Tree(*learned[x]) for x in self.languages]
-        self.held = np.full(1 << SLOT_BITS, 1 << 40, np.uint64)
-        self.table = np.zeros((1 << SLOT_BITS, len(self.languages)), np.float32)
+        room = max(1 << ORDER + 1, COSTS // max(1, len(self.languages)))
+        self.chunk, self.shift = min(CHUNK, room), np.uint64(64 - min(SLOT_BITS, room.bit_length() - 1))
+        slots = 1 << 64 - int(self.shift)
+        self.held = np.full(slots, 1 << 40, np.uint64)
+        self.table = np.zeros((slots, len(self.languages)), np.float32)
 
     def run_costs(self, runs: np.ndarray) -> np.ndarray:
         """(runs, languages) bits."""
-        slot = (runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+        slot = (runs * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
         out = self.table[slot]
         lacking = np.flatnonzero(self.held[slot] != runs)
         if len(lacking):
             new, place = np.unique(runs[lacking], return_inverse=True)
             costs = np.stack([t.costs(new) for t in self.trees], axis=1).astype(np.float32)
             out[lacking] = costs[place]
-            to = (new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+            to = (new * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
             # Of runs with one slot the last stays, in both arrays.
             last = len(to) - 1 - np.unique(to[::-1], return_index=True)[1]
             self.held[to[last]], self.table[to[last]] = new[last], costs[last]
@@ -155,7 +164,7 @@ class Model:
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages) bits; texts of any length."""
         out = np.zeros((len(texts), len(self.languages)))
-        for group in parts(texts):
+        for group in parts(texts, self.chunk):
             place, before, pieces = (list(x) for x in zip(*group, strict=True))
             runs, first = runs_of(pieces, before)
             np.add.at(out, place, np.add.reduceat(self.run_costs(runs), first, axis=0, dtype=np.float64))
@@ -183,26 +192,36 @@ def learned_runs(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(counted, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
 
-def sample(rows: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Of the learning rows (doc_id, lang, text) about ``max_bytes`` of text per language, by a hash of the id."""
-    sizes = {r["lang"]: r["size"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("size")).collect()}
-    share = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, max_bytes / max(1, size)))]) if sizes else None
-    if share is None:
-        return rows.limit(0)
-    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
-
-
-def learn(rows: DataFrame, max_bytes: int = MAX_BYTES) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per language, runs in order and their counts. The sample bounds what the driver gets."""
-    usable = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
-    got = learned_runs(sample(usable, max_bytes)).toArrow()
-    langs, runs, n = got["lang"].to_numpy(zero_copy_only=False), got["run"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.float64)
-    out = {}
-    for lang in sorted(set(langs)):
-        own = langs == lang
-        order = np.argsort(runs[own])
-        out[lang] = runs[own][order], n[own][order]
-    return out
+def sample(rows: DataFrame, max_bytes: int = MAX_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
+    """Of the learning rows (doc_id, lang, text), with text and language, about ``max_bytes`` of text per language, by a hash of id and text."""
+    hashed = rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    sizes = hashed.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("size"), F.min("_hash").alias("least"))
+    sizes = materialize(sizes, "langid-sizes")
+    each = min(max_bytes, total_bytes // max(1, sizes.count()))
+    most = F.lit((1 << 63) - 1)
+    passing = F.when(F.col("size") <= each, most).otherwise(F.greatest("least", (F.lit(each) / F.col("size") * F.lit(2.0**63)).cast("long")))
+    limits = broadcast_if_small(sizes.select(F.col("lang").alias("_lang"), passing.alias("_limit")))
+    return hashed.join(limits, F.col("lang") == F.col("_lang")).filter(F.col("_hash") <= F.col("_limit")).select(*rows.columns)
+
+
+def learn(rows: DataFrame, max_bytes: int = MAX_BYTES, max_runs: int = MAX_RUNS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per language, runs in order and their counts, ``max_runs`` at most."""
+    usable = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    found = materialize(learned_runs(sample(usable, max_bytes)), "langid-runs")
+    total = found.count()
+    if total > max_runs:
+        least = 0
+        for r in found.groupBy("n").count().orderBy("n").toLocalIterator():
+            if total <= max_runs:
+                break
+            total, least = total - r["count"], r["n"]
+        found = found.filter(F.col("n") > least)
+    got = found.toArrow()
+    langs = got["lang"].combine_chunks().dictionary_encode()
+    place, runs, n = langs.indices.to_numpy(), got["run"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.float64)
+    order = np.lexsort((runs, place))
+    cuts = np.searchsorted(place[order], np.arange(len(langs.dictionary) + 1))
+    return {lang: (runs[own], n[own]) for lang, a, b in zip(langs.dictionary.to_pylist(), cuts, cuts[1:], strict=False) for own in [order[a:b]]}
 
 
 _model: dict[str, Model] = {}
@@ -211,8 +230,8 @@ _model: dict[str, Model] = {}
 def predict(docs: DataFrame, learned: dict[str, tuple[np.ndarray, np.ndarray]], keep: list[str]) -> DataFrame:
     """The kept columns, lang_pred and score.
 
-    The score is the share of the predicted language in the probabilities of
-    the text under all languages, taken to one part in its length in bytes.
+    The score is the probability of the predicted language given the whole
+    text, all languages being equally likely before.
     """
     shared, shared_id = docs.sparkSession.sparkContext.broadcast(learned), uuid.uuid4().hex
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
@@ -229,8 +248,7 @@ def predict(docs: DataFrame, learned: dict[str, tuple[np.ndarray, np.ndarray]],
             if some and model.languages:
                 bits = model.code_lengths([asked[i] for i in some])
                 best = bits.argmin(axis=1)
-                size = np.array([max(1, len(asked[i])) for i in some])[:, None]
-                share = 1 / np.exp2((bits.min(axis=1, keepdims=True) - bits) / np.minimum(size, 64)).sum(axis=1)
+                share = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
                 for i, b, s in zip(some, best, share, strict=True):
                     langs[i], scores[i] = model.languages[b], float(s)
             yield with_columns(batch, keep, lang_pred=pa.array(langs, pa.string()), score=pa.array(scores, pa.float64()))
