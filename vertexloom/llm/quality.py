@@ -132,7 +132,9 @@ def bucket_counts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, ma
 
 
 def ratios_of(raw: list[int], trusted: list[list[int]]) -> list[float]:
-    """Per bucket, log of trusted over raw probability, both smoothed by ``SMOOTHING``."""
+    """Per bucket, log of trusted over raw probability, both smoothed by ``SMOOTHING``; all 0 without trusted counts."""
+    if not any(map(any, trusted)):
+        return [0.0] * len(raw)
     below, above = [n + SMOOTHING for n in raw], [sum(n) + SMOOTHING for n in zip(*trusted, strict=True)]
     shift = math.log(sum(below)) - math.log(sum(above))
     return [round(math.log(t) - math.log(r) + shift, 9) for t, r in zip(above, below, strict=True)]
