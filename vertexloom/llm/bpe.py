@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from vertexloom.functions.arrow import slices, with_columns
 from vertexloom.llm.pretokens import pretokens
 
-CACHE_SIZE = 1 << 18
+#: Bounds of what a worker keeps: pre-tokens, and characters of each; longer ones are encoded each time.
+CACHE_SIZE, MAX_PIECE = 1 << 18, 64
 LATE = 1 << 60
 
 
@@ -199,11 +200,13 @@ class Pieces(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) > CACHE_SIZE:
-            self.clear()
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        self[piece] = out = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
+        out = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
+        if len(piece) <= MAX_PIECE:
+            if len(self) > CACHE_SIZE:
+                self.clear()
+            self[piece] = out
         return out
 
 
