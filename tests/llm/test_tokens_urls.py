@@ -102,18 +102,35 @@ def test_counts_are_those_of_the_library(table, monkeypatch, cache):
     assert token_counts.count_tokens(table([]), JSON).count() == 0
 
 
-def test_the_first_tier_counts_all_documents(table, monkeypatch):
+def test_the_first_tier_is_bounded_and_frequent(table, monkeypatch):
     once = ["q" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(2000)]
     rows = [(i, "often seldom" if i % 2 else f"often {once[i]}") for i in range(2000)]
     docs = table([*rows, (9999, None), (9998, ""), (9997, "z" * 100)], files=5)
     got = token_counts.frequent_lengths(docs, JSON, size=2)
     assert set(got) == {"often", " seldom"} and all(got[p] == token_counts.lengths(JSON, [p])[0] for p in got)
     assert "z" * 100 not in token_counts.frequent_lengths(docs, JSON)
-    monkeypatch.setattr(token_counts, "SUMMARY_SIZE", 1)
-    assert set(token_counts.frequent_lengths(docs, JSON)) == {"often"}
+    few = token_counts.frequent_lengths(docs, JSON, sample_rows=100)
+    assert {"often", " seldom"} <= set(few) and 20 < len(few) < 200
     assert token_counts.frequent_lengths(table([]), JSON) == {}
 
 
+def test_very_long_pretokens_are_right_and_not_kept(library):
+    """Neither worker's cache holds pre-tokens beyond its bound."""
+    text = "x" * 100_000 + " " + "日本" * 20_000 + " short"
+    t = Tokenizer.from_file(JSON)
+    tiers = token_counts.Lengths(JSON, {})
+    assert tiers.counts([text, text]) == [len(t.encode(text, add_special_tokens=False))] * 2
+    assert max(map(len, tiers.cache)) <= token_counts.MAX_PIECE
+    assert bpe.encode_text(MULTI, text) == library.encode_ordinary(text)
+    assert max(map(len, bpe.pieces(MULTI))) <= bpe.MAX_PIECE and bpe.decode_ids(MULTI, bpe.encode_text(MULTI, text)) == text.encode()
+
+
+def test_counting_moves_no_pretokens(table):
+    docs = table([(i, f"word{i} and more") for i in range(50)])
+    plan = token_counts.count_tokens(docs, JSON)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
 def test_a_full_summary_keeps_what_is_frequent():
     seen = Counter({"a": 50, "b": 3, "c": 1, "d": 1, "e": 1})
     assert token_counts.lightened(seen) == {"a": 49, "b": 2}
@@ -142,13 +159,29 @@ def test_urls_against_every_rule(spark, case):
     rows = [(i, u) for i, u in enumerate(urls)] * 2 + [(None, "http://a.org/"), (-1, "http://hot.com/de/")] + [(-1, "http://hot.com/de/")] * 300
     pages = spark.createDataFrame([(*r, "<p>", "k", "p", "v") for r in rows], "page_id long, url string, html string, `key` string, path string, verdict string").repartition(5)
     want = Counter((i, *slow_verdict(u, rules)) for i, u in rows)
-    for n in ("1", "7"):
-        before = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        try:
-            assert Counter(map(tuple, url_filter.filter_urls(pages, rules).collect())) == want
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
-            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert Counter(map(tuple, url_filter.filter_urls(pages, rules).collect())) == want
+    asked = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert Counter(map(tuple, url_filter.filter_urls(pages, asked, parts=37).collect())) == want
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(pages, [], default="block").collect()} == {"block"}
+
+
+def test_bounds_carry_open_rules(spark, monkeypatch):
+    """Every place is a bound, and bounds hold only the beginnings of paths."""
+    monkeypatch.setattr(url_filter, "PER_BOUND", 1000)
+    monkeypatch.setattr(url_filter, "BOUND_SIZE", 3)
+    rnd = random.Random(9)
+    rules = [(rnd.choice(["allow", "block"]), rnd.choice(["a", "b.a", ""]), "/" + "".join(rnd.choices("xy", k=rnd.randint(0, 5)))) for _ in range(40)]
+    rows = [(i, f"s://{rnd.choice(['a', 'b.a', 'c.b.a', 'z'])}/" + "".join(rnd.choices("xy", k=rnd.randint(0, 7)))) for i in range(300)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, parts=150).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *slow_verdict(u, rules)) for i, u in rows)
+
+
+def test_many_rules_below_one_host_and_hosts_of_many_labels(spark):
+    n = 100_000
+    rules = spark.range(n).selectExpr("CASE WHEN id % 2 = 0 THEN 'block' ELSE 'allow' END AS verdict", "'com' AS host", "concat('/p', id, '/') AS path")
+    urls = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id, '.com/p', id * 7, '/q') AS url")
+    long = spark.createDataFrame([(-1, "http://" + "a." * 50_000 + "com/p4/" + "x" * 100_000)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(urls.unionByName(long), rules).collect()}
+    assert got.pop(-1) == ("com/p4/", "block")
+    assert got == {i: (f"com/p{i * 7}/", "allow" if i * 7 % 2 else "block") for i in range(3000)}
