@@ -197,12 +197,10 @@ def test_isotonic_fit_is_the_best_non_decreasing_one():
     margin, y, w = np.round(rnd.normal(size=60), 1), rnd.integers(0, 2, 60).astype(float), rnd.integers(1, 4, 60).astype(float)
     at, p = toxicity.isotonic(margin, y, w)
     assert (np.diff(at) > 0).all() and (np.diff(p) >= 0).all()
-    values = sorted(set(margin))
-    mean = [np.average(y[margin == v], weights=w[margin == v]) for v in values]
-    size = [w[margin == v].sum() for v in values]
-    # Least squares by the max-min formula.
-    best = [max(min(np.average(mean[i : j + 1], weights=size[i : j + 1]) for j in range(k, len(values))) for i in range(k + 1)) for k in range(len(values))]
+    values, best = slow_isotonic(margin, y, w)
     assert np.allclose(np.interp(values, at, p), best)
+    few = np.array([0.0, 0.0, 1.0, 1.0, 1.0])  # a low label comes first among those of the greater margin
+    assert toxicity.isotonic(few, np.array([0.0, 1, 0, 1, 1]), np.ones(5))[1] == pytest.approx([1 / 2, 2 / 3])
 
 
 def test_trees_learn_an_interaction():
@@ -213,6 +211,122 @@ def test_trees_learn_an_interaction():
     assert (((forest.margin(x[3000:]) > 0) == (y[3000:] > 0)).mean()) > 0.97
 
 
+def slow_grow(x, y, w):
+    """Trees by trying every cut of every feature with direct sums; a tree is a list of (feature, cut) by node, and leaves by their bits."""
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, toxicity.BINS + 1)[1:-1]))) for c in x.T]
+    p0 = sum(w * y) / sum(w)
+    base = np.log(p0 / (1 - p0))
+    margin, trees = [base] * len(x), []
+    for _ in range(toxicity.TREES):
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        g, h = [wi * (yi - pi) for wi, yi, pi in zip(w, y, p)], [wi * pi * (1 - pi) for wi, pi in zip(w, p)]
+        splits, leaves = {}, {}
+
+        def value(own):
+            return sum(g[i] for i in own) ** 2 / (sum(h[i] for i in own) + toxicity.RIDGE)
+
+        def part(own, node, depth):
+            if depth == toxicity.DEPTH:
+                leaves[node] = toxicity.RATE * sum(g[i] for i in own) / (sum(h[i] for i in own) + toxicity.RIDGE)
+                for i in own:
+                    margin[i] += leaves[node]
+                return
+            best = (1e-9, None)
+            for f, at in enumerate(cuts):
+                for cut in at:
+                    low, high = [i for i in own if x[i][f] <= cut], [i for i in own if x[i][f] > cut]
+                    if min(sum(w[i] for i in low), sum(w[i] for i in high)) >= toxicity.LEAST:
+                        gain = value(low) + value(high) - value(own)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (f, cut))
+            splits[node] = best[1]
+            low = [i for i in own if best[1] is None or x[i][best[1][0]] <= best[1][1]]
+            part(low, 2 * node + 1, depth + 1)
+            part([i for i in own if i not in set(low)], 2 * node + 2, depth + 1)
+
+        part(list(range(len(x))), 0, 0)
+        trees.append((splits, leaves))
+    return base, trees
+
+
+def slow_margin(model, row):
+    base, trees = model
+    for splits, leaves in trees:
+        node = 0
+        while node in splits:
+            f, cut = splits[node] or (0, np.inf)
+            node = 2 * node + 1 + (row[f] > cut)
+        base += leaves[node]
+    return base
+
+
+def slow_isotonic(margin, y, w):
+    """(margin, probability) by the max-min formula."""
+    values = sorted(set(margin))
+    mean = [np.average(y[margin == v], weights=w[margin == v]) for v in values]
+    size = [w[margin == v].sum() for v in values]
+    return values, [max(min(np.average(mean[i : j + 1], weights=size[i : j + 1]) for j in range(k, len(values))) for i in range(k + 1)) for k in range(len(values))]
+
+
+def test_trees_are_those_of_direct_sums(monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 4)
+    monkeypatch.setattr(toxicity, "BINS", 7)
+    monkeypatch.setattr(toxicity, "LEAST", 5.0)
+    rnd = np.random.default_rng(11)
+    x, w = np.round(rnd.normal(size=(90, 3)), 1), rnd.integers(1, 4, 90).astype(float)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rnd.normal(size=90) > 0.3).astype(float)
+    want = slow_grow(x, y, w)
+    forest = toxicity.grow(x, y, w)
+    assert np.allclose(forest.margin(x), [slow_margin(want, r) for r in x], atol=1e-6)
+
+
+def test_the_whole_operator_by_hand(spark, table, monkeypatch):
+    """Sample, words by quarters, trees, calibration and scores against a version of loops over the rows."""
+    monkeypatch.setattr(toxicity, "TREES", 2)
+    monkeypatch.setattr(toxicity, "BINS", 4)
+    rnd = np.random.default_rng(12)
+    rows = [(i, " ".join(rnd.choice(EN, 12)) + (" blorp grumfling" if i % 3 == 0 and i % 7 else " Plain you")) for i in range(160)] + [(5, "blorp a second text")]
+    toxic = {i: int(i % 3 == 0) for i in range(0, 160, 1) if i % 4}
+    docs = table(rows)
+    labels = spark.createDataFrame([(i, 0, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
+    got = {(r.doc_id, r.score) for r in toxicity.toxicity(docs, labels).collect()}
+    from pyspark.sql import functions as F
+
+    hashes = {(r.doc_id, r.text): (r.h, r.fold) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).alias("fold")).collect()}
+    sample = {}
+    for i, t in rows:
+        if i in toxic and zlib.crc32(str(i).encode()) % 5:
+            sample[i] = min(sample.get(i, (hashes[i, t][0], t)), (hashes[i, t][0], t))
+    sample = [(t, toxic[i], hashes[i, t][1]) for i, (_, t) in sample.items()]
+    n_labels = Counter(y for i, y in toxic.items() if zlib.crc32(str(i).encode()) % 5)
+    assert n_labels == Counter(y for _, y, _ in sample)  # so all weights are 1
+
+    def lexicon(folds):
+        own = [(toxicity.terms(t.encode()), y) for t, y, f in sample if f in folds]
+        n = Counter(y for _, y in own)
+        words, stems = {}, {}
+        for term in set().union(*(s for s, _ in own)):
+            a, b = sum(term in s and y for s, y in own), sum(term in s and not y for s, y in own)
+            stem = term[:1] == b"\0"
+            lift = (a / n[1]) / ((b + 0.5) / n[0])
+            if a >= max(toxicity.LEAST_DOCS, (toxicity.STEM_SHARE if stem else toxicity.WORD_SHARE) * n[1]) and lift >= (toxicity.STEM_LIFT if stem else toxicity.WORD_LIFT):
+                (stems if stem else words)[term.strip(b"\0")] = np.log(lift)
+        return toxicity.Lexicon(words, stems)
+
+    lexicons = {0: lexicon((1, 2, 3)), 1: lexicon((2, 3)), 2: lexicon((1, 3)), 3: lexicon((1, 2))}
+    assert b"blorp" in lexicons[0].weights and b"grumfl" in lexicons[0].stems
+    x = np.array([lexicons[f].features(t.encode()) for t, _, f in sample])
+    y, fold = np.array([float(y) for _, y, _ in sample]), np.array([f for _, _, f in sample])
+    model = slow_grow(x[fold != 0], y[fold != 0], np.ones((fold != 0).sum()))
+    margin = np.round([slow_margin(model, r) for r in x[fold == 0]], 9)
+    knots = slow_isotonic(margin, y[fold == 0], np.ones(len(margin)))
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append(np.interp(slow_margin(model, lexicons[0].features(t.encode())), *knots))
+    bad = [(i, s, want[i]) for i, s in got if min(abs(s - v) for v in want[i]) >= 1e-5]
+    assert not bad, (len(got), bad[:5], knots)
+
+
 def test_features_of_a_text():
     f = dict(zip(toxicity.FEATURES, toxicity.Lexicon({}, {b"worthl": 2.0}).features("You IDIOT! 1d10t st*pid s.t.u.p.i.d worthlessly".encode()), strict=True))
     assert f["different_hits"] == 1 and f["nearness"] == 0.5 and f["shouted"] > 0 and f["different_stems"] == 1 and f["stem_weight"] > 0

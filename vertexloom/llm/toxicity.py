@@ -9,11 +9,12 @@ quarters of the learning sample; on the rest, isotonic regression turns their
 sum into a probability. A document that trees are grown on is measured with
 words learned without its quarter, as words learned from itself would give its
 label away. Learning takes a bounded sample of labelled rows:
-``MAX_POSITIVE`` toxic and ``MAX_NEGATIVE`` other documents, the first in a
-hash order of ids, weighted to stand for all.
+``MAX_POSITIVE`` toxic and ``MAX_NEGATIVE`` other ids, the first in a hash
+order, with one document each, weighted to stand for all.
 
 Defined cases: a null text counts as empty; an id with several labels is toxic
-if any of them says so; labels that are null or have no id are not learned
+if any of them says so, and of an id with several documents the one with the
+least hash is learned from; labels that are null or have no id are not learned
 from; with no toxic or no other document to learn from, every score is the
 share of toxic labels (0 without labels); equal texts have equal scores; an
 empty table gives an empty result. Whole texts are read.
@@ -37,8 +38,9 @@ from vertexloom.functions.shared import materialize
 from vertexloom.llm.langid import remainder
 
 MAX_POSITIVE, MAX_NEGATIVE = 8_000, 16_000
-#: A learned word is in this share of toxic documents at least and in LEAST_DOCS, this many times the share of others, and among so many words at most.
-WORD_SHARE, WORD_LIFT, MAX_WORDS = 0.002, 8.0, 20_000
+#: A learned word is in this share of toxic documents at least and in LEAST_DOCS, and this many times the share of others.
+#: So words are at most 1 / WORD_SHARE times as many as a toxic document of the sample has different ones on average.
+WORD_SHARE, WORD_LIFT = 0.002, 8.0
 STEM_SHARE, STEM_LIFT = 0.005, 3.0
 LEAST_DOCS = 4
 #: Bytes of a stem: the beginning of a longer word.
@@ -181,11 +183,14 @@ def _split(flat, g, h, w, n_features, width, cuts) -> tuple[int, int] | None:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (margin, probability) of the non-decreasing least-squares fit, by pooling neighbours that fall."""
+    """Knots (margin, probability) of the non-decreasing least-squares fit: equal margins are one point, neighbours that fall are pooled."""
+    at, place = np.unique(margin, return_inverse=True)
+    weight = np.bincount(place, weights=w)
+    mean = np.bincount(place, weights=w * y) / weight
     blocks: list[list[float]] = []  # mean, weight, least margin, greatest margin
-    for i in np.argsort(margin, kind="stable"):
-        blocks.append([float(y[i]), float(w[i]), float(margin[i]), float(margin[i])])
-        while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
+    for m, v, x in zip(mean.tolist(), weight.tolist(), at.tolist(), strict=True):
+        blocks.append([m, v, x, x])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             m, v, _, high = blocks.pop()
             last = blocks[-1]
             last[0], last[1], last[3] = (last[0] * last[1] + m * v) / (last[1] + v), last[1] + v, high
@@ -197,7 +202,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 class Scorer:
     """What the tasks get: a few hundred KB."""
 
-    learned: tuple[dict[bytes, float], dict[bytes, float]]
+    learned: tuple[dict[bytes, float], dict[bytes, float]]  # words, stems
     share: float
     forest: Forest | None = None
     knots: tuple[np.ndarray, np.ndarray] | None = None
@@ -231,49 +236,58 @@ def terms(text: bytes) -> set[bytes]:
     return words | {b"\0" + w[:STEM] for w in words if len(w) > STEM}
 
 
-def lexicon_of(rows: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]:
-    """Learned words and stems with the logarithm of how much more often toxic documents have them.
+#: Quarters whose words a lexicon is learned from: the one in use, and for each quarter that trees are grown on the one without it.
+LEARNED_FROM = {0: (1, 2, 3), 1: (2, 3), 2: (1, 3), 3: (1, 2)}
+Learned = tuple[dict[bytes, float], dict[bytes, float]]
 
-    Documents are counted by Spark over all rows of the sample; the driver
-    gets those that pass, ``MAX_WORDS`` at most.
+
+def lexicons_of(rows: DataFrame) -> dict[int, Learned]:
+    """For each entry of LEARNED_FROM the words and the stems with the logarithm of how much more often toxic documents have them.
+
+    Documents are counted by Spark, once for all lexicons, over all rows
+    (text, toxic, fold) of the sample; the driver gets the terms that pass.
     """
+    names = [f"{kind}{k}" for k in (1, 2, 3) for kind in ("toxic", "other")]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
-            toxic, other = Counter(), Counter()
-            for text, y in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                (toxic if y else other).update(terms(text))
-            words = list(toxic.keys() | other.keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())],
-                names=["term", "toxic", "other"],
-            )
-
-    totals = rows.agg(F.sum("toxic"), F.count("*")).first()
-    n_toxic, n_other = totals[0] or 0, totals[1] - (totals[0] or 0)
-    if not n_toxic or not n_other:
-        return {}, {}
-    sums = rows.select("text", "toxic").mapInArrow(counted, "term binary, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    lift = (F.col("toxic") / F.lit(float(n_toxic))) / ((F.col("other") + 0.5) / F.lit(float(n_other)))
-    stem = F.substring("term", 1, 1) == F.lit(b"\0")
+            sums = {n: Counter() for n in names}
+            for text, y, k in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                sums[f"{'toxic' if y else 'other'}{k}"].update(terms(text))
+            words = list(set().union(*sums.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([sums[n][w] for w in words], pa.int64()) for n in names)], names=["term", *names])
+
+    rows = rows.filter("fold != 0")
+    docs = dict.fromkeys(names, 0) | {f"{'toxic' if r['toxic'] else 'other'}{r['fold']}": r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
+    sums = rows.select("text", "toxic", "fold").mapInArrow(counted, f"term binary, {', '.join(f'{n} long' for n in names)}").groupBy("term").agg(*(F.sum(n).alias(n) for n in names))
+    stem, lifts = F.substring("term", 1, 1) == F.lit(b"\0"), {}
     share, least = F.when(stem, STEM_SHARE).otherwise(WORD_SHARE), F.when(stem, STEM_LIFT).otherwise(WORD_LIFT)
-    common = sums.withColumn("lift", lift).filter((F.col("toxic") >= F.greatest(F.lit(LEAST_DOCS), share * n_toxic)) & (F.col("lift") >= least))
-    words: dict[bytes, float] = {}
-    stems: dict[bytes, float] = {}
-    for r in common.orderBy(F.desc("toxic"), "term").limit(MAX_WORDS).collect():
+    for v, folds in LEARNED_FROM.items():
+        n_toxic, n_other = (float(sum(docs[f"{kind}{k}"] for k in folds)) for kind in ("toxic", "other"))
+        if n_toxic and n_other:
+            toxic, other = (sum((F.col(f"{kind}{k}") for k in folds), F.lit(0)) for kind in ("toxic", "other"))
+            lift = (toxic / F.lit(n_toxic)) / ((other + 0.5) / F.lit(n_other))
+            lifts[f"lift{v}"] = F.when((toxic >= F.greatest(F.lit(LEAST_DOCS), share * n_toxic)) & (lift >= least), lift)
+    found: dict[int, Learned] = {v: ({}, {}) for v in LEARNED_FROM}
+    passed = sums.select("term", *(x.alias(n) for n, x in lifts.items())).dropna(how="all", subset=list(lifts)).collect() if lifts else []
+    for r in passed:
         term = bytes(r["term"])
-        (stems if term[:1] == b"\0" else words)[term.lstrip(b"\0")] = float(np.log(r["lift"]))
-    return words, stems
+        for name in lifts:
+            if r[name] is not None:
+                found[int(name[4:])][term[:1] == b"\0"][term.lstrip(b"\0")] = float(np.log(r[name]))
+    return found
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from the labelled documents of the sample."""
     ids = learning_labels(labels).withColumnRenamed("doc_id", "_id")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    # One document an id, chosen with partial results on the map side.
+    one = own.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", F.col("toxic").cast("int").alias("toxic"), "weight")).alias("one"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int").alias("fold")
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), part)
-    rows = materialize(own.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", F.col("toxic").cast("int").alias("toxic"), "weight", "fold"), "toxicity-sample")
-    learned = lexicon_of(rows.filter("fold != 0"))
-    lexicons = {0: Lexicon(*learned)} | {k: Lexicon(*lexicon_of(rows.filter(~F.col("fold").isin(0, k)))) for k in (1, 2, 3)}
+    rows = materialize(one.select("one.text", "one.toxic", "one.weight", part), "toxicity-sample")
+    learned = lexicons_of(rows)
+    lexicons = {v: Lexicon(*x) for v, x in learned.items()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -283,7 +297,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     got = rows.mapInArrow(measured, "toxic int, weight double, fold int, x array<double>").toArrow()
     y, w, fold = (got[c].to_numpy().astype(float) for c in ("toxic", "weight", "fold"))
     if not len(y) or y.min() == y.max():
-        return Scorer(learned, float(y.mean()) if len(y) else 0.0)
+        return Scorer(learned[0], float(y.mean()) if len(y) else 0.0)
     x = np.array(got["x"].to_pylist(), float)
     order = np.lexsort((*x.T, y, fold))  # the same rows give the same trees in any order of tasks
     x, y, w, fold = x[order], y[order], w[order], fold[order]
@@ -291,7 +305,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     if min(y[fit].sum(), y[rest].sum()) < 1 or min((1 - y)[fit].sum(), (1 - y)[rest].sum()) < 1:
         fit = rest = np.ones(len(y), bool)
     forest = grow(x[fit], y[fit], w[fit])
-    return Scorer(learned, float(np.average(y, weights=w)), forest, isotonic(forest.margin(x[rest]), y[rest], w[rest]))
+    return Scorer(learned[0], float(np.average(y, weights=w)), forest, isotonic(forest.margin(x[rest]), y[rest], w[rest]))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
