@@ -57,8 +57,8 @@ def test_levels_leave_few_bits_free():
     assert max(64 - m.bit_count() for m in masks) <= 8
 
 
-@pytest.mark.parametrize("full", [1024, 16])
-def test_links_keep_the_components_of_all_pairs(spark, tmp_path, full):
+@pytest.mark.parametrize("full, radius", [(1024, 3), (16, 3), (1024, 5)])
+def test_links_keep_the_components_of_all_pairs(spark, tmp_path, full, radius):
     """With small limits the large buckets are covered again, two and three levels deep."""
     rnd = np.random.default_rng(full)
     base = [int(x) for x in rnd.integers(0, 2**63, 12)]
@@ -69,9 +69,9 @@ def test_links_keep_the_components_of_all_pairs(spark, tmp_path, full):
             x ^= sum(1 << int(i) for i in rnd.choice(20, rnd.integers(1, 5), replace=False))
             fps.add(x)
     fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
-    near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) % 2**64).bit_count() <= 3]
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) % 2**64).bit_count() <= radius]
     spark.createDataFrame([(x,) for x in fps], "fp long").write.parquet(str(tmp_path / "fps"))
-    found = [(r.a, r.b) for r in simhash.links(spark.read.parquet(str(tmp_path / "fps")), full).collect()]
+    found = [(r.a, r.b) for r in simhash.links(spark.read.parquet(str(tmp_path / "fps")), full, radius).collect()]
     assert roots(fps, found) == roots(fps, near)
 
 

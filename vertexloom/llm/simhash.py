@@ -5,7 +5,8 @@ in over half of them. Bit ``i`` is assigned a non-zero vector of ``radius + 1``
 bits; for each non-zero vector ``v`` a mask holds the bits whose vectors have
 an odd product with ``v``. Any ``radius`` differing bits leave a ``v`` that is
 even with all of them, so two fingerprints within the radius agree on some
-mask: every such pair collides in one of the 15 tables, none is missed.
+mask: every such pair collides in one of the 15 tables (at radius 3), none is
+missed.
 
 Equal fingerprints are one class. Buckets of two classes are decided by one
 comparison in the JVM, buckets up to ``FULL`` classes by comparing them with
@@ -36,7 +37,8 @@ from vertexloom.llm.rows import located, without
 from vertexloom.llm.sharding import lookup
 from vertexloom.operators.components import connected_components
 
-RADIUS = 3
+#: The contract's: differing bits of a link, words of a shingle.
+RADIUS, WIDTH = 3, 3
 BITS = 64
 SEED = 42
 #: Largest bucket whose members are compared with each other in memory.
@@ -45,7 +47,7 @@ FULL = 1024
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> bytes:
+def fingerprint(text: str | None, width: int = WIDTH) -> bytes:
     """The fingerprint of a text, 8 bytes: A-Z lower-cased, words joined by spaces, shingles of ``width`` words."""
     words = (text or "").encode().lower().split()
     if not words:
@@ -60,7 +62,7 @@ def fingerprint(text: str | None, width: int = 3) -> bytes:
     return np.packbits(2 * count > len(each)).tobytes()
 
 
-def fingerprints(docs: DataFrame, keep: list[str], width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: list[str], width: int = WIDTH) -> DataFrame:
     """The kept columns and ``fp``, the fingerprint as a signed long."""
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
@@ -79,21 +81,21 @@ def cover(fixed: int, radius: int = RADIUS) -> list[int]:
     return [fixed | sum(1 << b for n, b in enumerate(free) if (1 + n % vectors & v).bit_count() & 1) for v in range(1, vectors + 1)]
 
 
-def links(classes: DataFrame, full: int = FULL) -> DataFrame:
+def links(classes: DataFrame, full: int = FULL, radius: int = RADIUS) -> DataFrame:
     """Rows (a, b) of fingerprints whose connected components are those of all links within the radius.
 
     ``classes``: distinct rows (fp), cheap to scan.
     """
     masks, rows, found = [0], classes.select("fp", F.lit(0).alias("bucket")), []
     for _ in range(4):
-        masks = [m for fixed in masks for m in cover(fixed)]
-        keyed = _keyed(rows, masks)
+        masks = [m for fixed in masks for m in cover(fixed, radius)]
+        keyed = _keyed(rows, masks, radius)
         buckets = materialize(
             keyed.groupBy("bucket", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"),
             "simhash-buckets",
         )
-        found.append(buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b"))
-        found.append(_within(keyed, buckets.filter(F.col("n").between(3, full))))
+        found.append(buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b"))
+        found.append(_within(keyed, buckets.filter(F.col("n").between(3, full)), radius))
         large = buckets.filter(F.col("n") > full)
         if large.isEmpty():
             break
@@ -106,9 +108,9 @@ def links(classes: DataFrame, full: int = FULL) -> DataFrame:
     return out
 
 
-def _keyed(rows: DataFrame, masks: list[int]) -> DataFrame:
+def _keyed(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
     """Each row once for each of the masks below its bucket, with the bits that the mask holds."""
-    fan = (1 << RADIUS + 1) - 1
+    fan = (1 << radius + 1) - 1
     table = [m - (1 << 64) if m >> 63 else m for m in masks]
     below = rows.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(fan - 1)), lambda i: F.col("bucket") * fan + i)).alias("bucket"))
     return below.withColumn("key", F.col("fp").bitwiseAND(lookup(table, F.col("bucket"), "bigint")))
@@ -119,7 +121,7 @@ def _members(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
     return keyed.join(own, ["bucket", "key"], "left_semi").select("fp", "bucket")
 
 
-def _within(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
+def _within(keyed: DataFrame, buckets: DataFrame, radius: int) -> DataFrame:
     own = broadcast_if_small(buckets.select("bucket", "key"))
     lists = keyed.join(own, ["bucket", "key"], "left_semi").groupBy("bucket", "key").agg(F.collect_list("fp").alias("fps"))
 
@@ -127,7 +129,7 @@ def _within(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
         for batch in slices(batches, 64):
             a, b = [], []
             for fps in batch.column("fps"):
-                low, high = forest(fps.values.to_numpy())
+                low, high = forest(fps.values.to_numpy(), radius)
                 a.append(low)
                 b.append(high)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -135,9 +137,9 @@ def _within(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
     return lists.select("fps").mapInArrow(linked, "a long, b long")
 
 
-def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """For the members of a bucket that have links there, the first member of their component and themselves."""
-    near = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= RADIUS
+    near = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)) <= radius
     root = np.arange(len(fps))
     while True:
         new = np.where(near, root[None, :], len(fps)).min(axis=1)
@@ -149,24 +151,24 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[root[own]], fps[own]
 
 
-def class_components(prints: DataFrame, rep: Column, full: int = FULL) -> DataFrame:
+def class_components(prints: DataFrame, rep: Column, full: int = FULL, radius: int = RADIUS) -> DataFrame:
     """Rows (fp, rep): for each fingerprint of the written table ``prints`` the least ``rep`` of its component."""
     classes = materialize(prints.groupBy("fp").agg(F.min(rep).alias("rep")), "simhash-classes")
-    tied = connected_components(links(classes.select("fp"), full))
+    tied = connected_components(links(classes.select("fp"), full, radius))
     tied = materialize(tied.join(classes, tied["node"] == classes["fp"]).select("fp", "component", "rep"), "simhash-tied")
     least = tied.groupBy("component").agg(F.min("rep").alias("least"))
     named = tied.select("fp", "component").join(least, "component").select("fp", "least")
     return materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("rep")), "simhash-named")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, full: int = FULL) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, full: int = FULL, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links)."""
     prints = materialize(fingerprints(docs, ["doc_id"], width), "simhash-prints")
-    named = class_components(prints, F.col("doc_id"), full)
+    named = class_components(prints, F.col("doc_id"), full, radius)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("rep").alias("component_id"))
 
 
-def dropped_rows(rows: DataFrame, width: int = 3, full: int = FULL) -> DataFrame:
+def dropped_rows(rows: DataFrame, width: int = WIDTH, full: int = FULL, radius: int = RADIUS) -> DataFrame:
     """Locators of the located rows that go when one row of each component, the one with the least doc_id, stays.
 
     Rows of one id are told apart by their locators.
@@ -175,12 +177,12 @@ def dropped_rows(rows: DataFrame, width: int = 3, full: int = FULL) -> DataFrame
     prints = materialize(fingerprints(narrow, ["doc_id", "_file", "_row"], width), "simhash-prints")
     # Nulls come last: an id is preferred to none.
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_file", "_row")
-    named = class_components(prints, own, full)
+    named = class_components(prints, own, full, radius)
     gone = prints.join(named, "fp").filter((F.col("rep._file") != F.col("_file")) | (F.col("rep._row") != F.col("_row")))
     return materialize(gone.select("_file", "_row"), "simhash-dropped")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each component; all columns stay."""
     rows = located(docs)
-    return without(rows, dropped_rows(rows, width))
+    return without(rows, dropped_rows(rows, width, radius=radius))
