@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), ``docs`` being what the stage before it
 left, and returns a DataFrame; all but the last return the columns of
 documents. Nulls, empty texts, repeated rows and empty tables are handled as
-the operators' docstrings say.
+the operators' docstrings say: null and empty texts are scored as empty, are
+one group for exact dedup and have the fingerprint zero; in the mix they have
+size 0 and go as often as their source's rate says; they have no tokens.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexloom.functions.shared import materialize
+from vertexloom.functions.shared import discard, scratch
 from vertexloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
 
 
@@ -53,8 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written and read again before the next."""
+    """All stages over the documents of ``sf_dir``, each written and read again before the next; what no later stage reads is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as scope:
+            before, docs = docs, scope.keep(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
