@@ -5,11 +5,12 @@ from pyspark.errors import PySparkException
 from simulation import Graph
 
 from vertexloom.model import EDGE_LIST, GraphError, UnknownName
-from vertexloom.operators import ingest, lookups, matching, neighbours, reach, wcc
+from vertexloom.operators import ingest, lookups, matching, neighbours, reach, steps, wcc
 from vertexloom.operators.components import connected_components
 from vertexloom.plans.patterns import Pattern, PatternEdge, elimination_order
 from vertexloom.plans.views import VIEWS
 from vertexloom.queries import QUERIES
+from vertexloom.sources import store as store_module
 from vertexloom.sources.store import GraphStore
 
 SMALL = [
@@ -92,6 +93,25 @@ def test_lookups(small):
             lookups.resolve(small, *bad)
 
 
+def test_stored_blocks_are_pruned_and_hubs_are_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "BLOCK", 8)
+    rows = [("hub", "H", "r", f"v{i}", "V") for i in range(400)] + [(f"v{i}", "V", "s", f"v{i + 1}", "V") for i in range(399)]
+    graph = stored(spark, tmp_path, rows)
+    assert graph.block_size == 8 and by_pk(graph) == Graph(rows).edge
+    plan = graph.edges_of([9, 20])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [block" in plan and "In(src, [20,9])" in plan.replace("[9,20]", "[20,9]")
+    assert {r.src for r in graph.edges_of([9, 20]).collect()} == {9, 20} and {r.id for r in graph.vertices_of([3, 399]).collect()} == {3, 399}
+    assert {r.block for r in graph.blocked[1].filter(graph.blocked[1].src.isin(9, 20)).select("block").distinct().collect()} == {1, 2}
+    assert lookups.adjacency(graph, "hub", 0).count() == 400 and lookups.adjacency(graph, "v5", 1, "r").count() == 1
+    assert lookups.adjacency(graph, "nobody", 0).count() == 0
+    assert neighbours.one_hop(graph, "hub", 0).count() == 400
+    monkeypatch.setattr(steps, "FEW", 3)  # more than few: by joins
+    assert neighbours.one_hop(graph, "hub", 0).count() == 400
+    sim = Graph(rows)
+    assert count(reach.khop_count(graph, ["v7"], 3, 3)) == sim.khop(["v7"], 3, 3, [], [])
+    assert count(reach.walk_count(graph, ["v7"], 3, 3)) == sim.walks(["v7"], 3, 3, [], [], False)
+
+
 def test_one_hop_writes_edges_in_their_direction(small):
     def lines(*args):
         return sorted(r.edge for r in neighbours.one_hop(small, *args).collect())

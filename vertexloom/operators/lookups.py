@@ -30,32 +30,30 @@ def keys(spark: SparkSession, pks: Sequence[str]) -> DataFrame:
 def vertex_ids(graph: PropertyGraph, pks: Sequence[str]) -> DataFrame:
     """Rows (place, pk, id), in any order: a row for each key asked for, id null if there is no such vertex."""
     asked = keys(graph.spark, pks)
-    found = graph.vertices.filter(F.col("pk").isin(list(pks))) if pks else graph.vertices.limit(0)
+    found = graph.vertices_named(pks) if pks else graph.vertices.limit(0)
     return asked.join(found.select("pk", "id"), "pk", "left").select("place", "pk", "id")
 
 
 def vertex_by_pk(graph: PropertyGraph, pk: str) -> DataFrame:
     """The vertex with a key: at most one row (id, pk, label)."""
-    return graph.vertices.filter(F.col("pk") == pk)
+    return graph.vertices_named([pk])
 
 
 def vertex_by_id(graph: PropertyGraph, id_: int) -> DataFrame:
     """The vertex with an id: at most one row (id, pk, label)."""
-    return graph.vertices.filter(F.col("id") == id_)
+    return graph.vertices_of([id_])
 
 
 def adjacency(graph: PropertyGraph, pk: str, direction: int, relation: str | None = None) -> DataFrame:
-    """Edge rows of a vertex in one direction, of one relation if given."""
-    rows = graph.edges.filter(F.col("dir") == direction)
-    if relation is not None:
-        rows = rows.filter(F.col("rel") == relation)
-    return rows.join(vertex_by_pk(graph, pk).select(F.col("id").alias("src")), "src")
+    """Edge rows of a vertex in one direction, of one relation if given. The vertex's id is looked up first, so only its block is read."""
+    rows = graph.edges_of([r["id"] for r in vertex_by_pk(graph, pk).collect()]).filter(F.col("dir") == direction)
+    return rows if relation is None else rows.filter(F.col("rel") == relation)
 
 
 def resolve(graph: PropertyGraph, vertices: Sequence[str] = (), label_names: Sequence[str] = (), relation_names: Sequence[str] = ()) -> None:
     """Raise UnknownName for any vertex, label or relation that the graph doesn't have."""
     for kind, asked, column in (
-        ("vertex", vertices, lambda x: graph.vertices.filter(F.col("pk").isin(x)).select("pk")),
+        ("vertex", vertices, lambda x: graph.vertices_named(x).select("pk")),
         ("label", label_names, lambda x: labels(graph).filter(F.col("name").isin(x))),
         ("relation", relation_names, lambda x: graph.edges.filter(F.col("rel").isin(x)).select("rel").distinct()),
     ):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.model import IN, OUT, GraphError, PropertyGraph
 from vertexloom.operators.lookups import vertex_by_pk
-from vertexloom.operators.steps import constant_count, one_count, starts, step_edges
+from vertexloom.operators.steps import constant_count, few_ids, one_count, starts, step_edges
 
 
 def one_hop(graph: PropertyGraph, pk: str, direction: int = 2, relation: str | None = None) -> DataFrame:
@@ -22,8 +22,11 @@ def one_hop(graph: PropertyGraph, pk: str, direction: int = 2, relation: str | N
     if direction not in (0, 1, 2):
         raise GraphError("direction must be 0, 1 or 2")
     own = vertex_by_pk(graph, pk).select(F.col("id").alias("src"), F.col("pk").alias("own_pk"), F.col("label").alias("own_label"))
-    rows = step_edges(graph, (OUT, IN) if direction == 2 else (direction,), [relation] if relation else [], [])
-    far = graph.vertices.select(F.col("id").alias("dst"), F.col("pk").alias("far_pk"))
+    ids = [r["src"] for r in own.collect()]
+    rows = step_edges(graph, (OUT, IN) if direction == 2 else (direction,), [relation] if relation else [], [], ids)
+    # Few far ends are looked up by id; those of a hub are joined.
+    met = few_ids(rows.select(F.col("dst").alias("id")).distinct())
+    far = (graph.vertices if met is None else graph.vertices_of(met)).select(F.col("id").alias("dst"), F.col("pk").alias("far_pk"))
     return (
         rows.join(F.broadcast(own), "src")  # one row: keys are unique
         .join(far, "dst")
@@ -41,6 +44,6 @@ def common_neighbours(graph: PropertyGraph, pks: Sequence[str], relations: Seque
     if len(pks) < 2:
         return constant_count(graph, 0)
     seeds = starts(graph, pks).select(F.col("id").alias("src"))
-    rows = step_edges(graph, (OUT, IN), relations, []).select("src", "dst").join(seeds, "src")
+    rows = step_edges(graph, (OUT, IN), relations, [], [r["src"] for r in seeds.collect()]).select("src", "dst")
     shared = rows.groupBy("dst").agg(F.count_distinct("src").alias("n")).filter(F.col("n") == len(set(pks)))
     return one_count(shared, F.count("*"))

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.shared import materialize
 from vertexloom.model import PropertyGraph
-from vertexloom.operators.steps import DIRECTIONS, constant_count, one_count, passes, starts, step_edges
+from vertexloom.operators.steps import DIRECTIONS, constant_count, few_ids, one_count, passes, starts, step_edges
 
-#: Levels that are planned as one job; deeper searches write each further level.
-PLANNED = 3
 WEIGHT = "decimal(38,0)"
 
 
@@ -26,18 +24,18 @@ def khop(graph: PropertyGraph, pks: Sequence[str], k: int, direction: int, relat
     reached = starts(graph, pks).filter(passes("label", labels)).select("id")
     if k <= 0 or direction not in DIRECTIONS or not pks:
         return reached.limit(0)
-    edges = step_edges(graph, DIRECTIONS[direction], relations, labels).select("src", "dst")
-    frontier = reached
-    for level in range(1, k + 1):
-        met = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = met.join(reached, "id", "left_anti")
-        if level >= PLANNED and level < k:
-            frontier = materialize(frontier, "khop-frontier")
-            if frontier.isEmpty():
-                return reached
-            reached = materialize(reached.unionByName(frontier), "khop-reached")
-        else:
-            reached = reached.unionByName(frontier)
+    # Each level is written, so that none is planned or run again by the next.
+    frontier = reached = materialize(reached, "khop-reached")
+    for _ in range(k):
+        ids = few_ids(frontier)
+        if ids == []:
+            break
+        edges = step_edges(graph, DIRECTIONS[direction], relations, labels, ids).select("src", "dst")
+        if ids is None:
+            edges = edges.join(frontier, frontier["id"] == edges["src"])
+        met = edges.select(F.col("dst").alias("id")).distinct()
+        frontier = materialize(met.join(reached, "id", "left_anti"), "khop-frontier")
+        reached = reached.unionByName(frontier)
     return reached
 
 
@@ -56,7 +54,7 @@ def walk_count(
     Walks are never written out: a level holds each vertex once, with the
     number of walks that end there. Starts count as often as they are named, a
     relation listed twice doubles its edges; edge labels are tested, start
-    labels are not. A number beyond 38 digits raises an error.
+    labels are not. The number is a long: one of 2**63 or more raises an error.
     """
     if k <= 0 or direction not in DIRECTIONS or not pks:
         return constant_count(graph, 0)
@@ -67,18 +65,18 @@ def walk_count(
         named = Counter(pks)
         times = F.coalesce(*(F.when(F.col("pk") == p, F.lit(n)) for p, n in named.items())) if max(named.values()) > 1 else F.lit(1)
         level = level.select("id", times.cast(WEIGHT).alias("w"))
-    edges = step_edges(graph, DIRECTIONS[direction], relations, labels)
     listed = Counter(relations)
     times = F.lit(1)
     if listed and max(listed.values()) > 1:
         times = F.coalesce(*(F.when(F.col("rel") == r, F.lit(n)) for r, n in listed.items()))
-    edges = edges.select("src", "dst") if distinct else edges.select("src", "dst", times.cast("int").alias("times"))
+    level = materialize(level, "walk-level")
     for step in range(1, k + 1):
+        edges = step_edges(graph, DIRECTIONS[direction], relations, labels, few_ids(level)).select("src", "dst", times.cast("int").alias("times"))
         met = level.join(edges, level["id"] == edges["src"])
         if distinct:
             level = met.select(F.col("dst").alias("id")).distinct()
         else:
             level = met.groupBy(F.col("dst").alias("id")).agg(F.sum((F.col("w") * F.col("times")).cast(WEIGHT)).cast(WEIGHT).alias("w"))
-        if step >= PLANNED and step < k:
+        if step < k:
             level = materialize(level, "walk-level")
     return one_count(level, F.count("*") if distinct else F.sum("w"))

@@ -18,14 +18,25 @@ def passes(column: str, names: Sequence[str]) -> Column:
     return F.col(column).isin(list(dict.fromkeys(names))) if names else F.lit(True)
 
 
-def step_edges(graph: PropertyGraph, directions: Sequence[int], relations: Sequence[str], far_labels: Sequence[str]) -> DataFrame:
-    """Edge rows that a step may take; all three tests reach the Parquet scan."""
-    return graph.edges.filter(F.col("dir").isin(list(directions)) & passes("rel", relations) & passes("dst_label", far_labels))
+#: Vertices up to which a step asks for their edges by id, which skips all other blocks.
+FEW = 1000
+
+
+def few_ids(rows: DataFrame) -> list[int] | None:
+    """The ids of rows (id), cheap to scan, if they are few."""
+    ids = [r["id"] for r in rows.select("id").limit(FEW + 1).collect()]
+    return ids if len(ids) <= FEW else None
+
+
+def step_edges(graph: PropertyGraph, directions: Sequence[int], relations: Sequence[str], far_labels: Sequence[str], ids: Sequence[int] | None = None) -> DataFrame:
+    """Edge rows that a step may take, from the vertices ``ids`` if given; all tests reach the Parquet scan."""
+    edges = graph.edges if ids is None else graph.edges_of(ids)
+    return edges.filter(F.col("dir").isin(list(directions)) & passes("rel", relations) & passes("dst_label", far_labels))
 
 
 def starts(graph: PropertyGraph, pks: Sequence[str]) -> DataFrame:
     """Vertices of a request's keys, one row each however often a key is named; unknown keys have none."""
-    return graph.vertices.filter(F.col("pk").isin(list(dict.fromkeys(pks))))
+    return graph.vertices_named(pks)
 
 
 def one_count(df: DataFrame, value: Column, name: str = "count") -> DataFrame:
