@@ -72,5 +72,5 @@ def test_command_line(spark, tmp_path):
         with pytest.raises(SystemExit):
             arguments(bad)
     (tmp_path / "e.csv").write_text("startId,startLabel,edgeLabel,endId,endLabel\na,A,r,b,B\n")
-    assert main(["--database_dir", str(tmp_path / "db"), "--need_import", "--data_path", str(tmp_path / "e.csv"), "--import_only"]) == 0
+    assert main(["--database_dir", str(tmp_path / "db"), "--need_import", "--data_path", str(tmp_path / "e.csv"), "--batch_size", "500", "--import_only"]) == 0
     assert GraphStore(spark, str(tmp_path / "db")).open().vertices.count() == 2

@@ -26,6 +26,7 @@ def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--database_dir", required=True, help="folder of the store")
     p.add_argument("--need_import", action="store_true", help="import data_path first")
     p.add_argument("--data_path", help="a .csv, .xlsx or .parquet edge list")
+    p.add_argument("--batch_size", type=positive, help="taken for compatibility: an import is one job, whose tasks Spark sizes")
     p.add_argument("--port", type=positive, default=8200)
     p.add_argument("--log_level", default="info", choices=["debug", "info", "warning", "error"])
     p.add_argument("--log_file", help="also log here, a file a day")

@@ -5,7 +5,10 @@ variable out, the relations that hold it are joined on what they share, any
 other relation that lies within the joined variables is joined as well, which
 closes cycles early, and weights are multiplied and summed over what is left.
 Trees thus never have their matches written out, parts without connection
-multiply, and only cycles need wider joins.
+multiply, and only cycles need wider joins. When only cycles are left, the
+relations are written, each is cut down to the pairs that the others can go on
+from, and the first variable to go is the one whose join is smallest by
+measured degrees.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.functions.shared import materialize
 from vertexloom.model import IN, OUT, PropertyGraph
 from vertexloom.operators.steps import constant_count
-from vertexloom.plans.patterns import Pattern, PatternEdge, elimination_order
+from vertexloom.plans.patterns import Pattern, PatternEdge
 
 WEIGHT = "decimal(38,0)"
 
@@ -44,8 +48,19 @@ def match_count(graph: PropertyGraph, pattern: Pattern) -> DataFrame:
             total *= sizes[v]
     if total == 0:
         return constant_count(graph, 0)
-    for v in elimination_order(held, [frozenset(f.columns) - {"w"} for f in factors], sizes):
-        factors = _without(factors, v)
+    measured = False
+    while held:
+        around = {v: {c for f in factors if v in f.columns for c in f.columns} - {v, "w"} for v in held}
+        fewest = min(map(len, around.values()))
+        if fewest >= 2 and not measured:
+            factors, measured = [materialize(f, "match-relation") for f in factors], True
+            best = min(held, key=lambda v: (len(around[v]), _joined_rows(factors, v), v))
+            factors = _reduced(factors)
+        else:
+            # Fewest neighbours first, then most candidates, so that small sides stay.
+            best = min(held, key=lambda v: (len(around[v]), -sizes[v], v))
+        factors = _without(factors, best)
+        held = held - {best}
     weights = [f.select("w") for f in factors]
     product = reduce(lambda a, b: a * b, [F.coalesce(F.col(f"w{i}"), F.lit(0)).cast(WEIGHT) for i in range(len(weights))], F.lit(total).cast(WEIGHT))
     # Each is the one row of a part of the pattern.
@@ -69,6 +84,26 @@ def _relation(graph: PropertyGraph, pattern: Pattern, edge: PatternEdge) -> Data
     return rows.distinct().withColumn("w", F.lit(1).cast(WEIGHT))
 
 
+def _reduced(factors: list[DataFrame]) -> list[DataFrame]:
+    """The relations without rows that find no partner in another that shares a variable."""
+    out = []
+    for f in factors:
+        for g in factors:
+            shared = [c for c in f.columns if c in g.columns and c != "w"]
+            if shared and g is not f and f.columns != g.columns:
+                f = f.join(g.select(*shared).distinct(), shared, "left_semi")
+        out.append(f)
+    return out
+
+
+def _joined_rows(factors: list[DataFrame], var: str) -> float:
+    """How many rows the join of a variable's relations has at most: the sum of products of its degrees."""
+    degrees = [f.groupBy(var).agg(F.count("*").alias(f"n{i}")) for i, f in enumerate(factors) if var in f.columns]
+    joined = reduce(lambda a, b: a.join(b, var), degrees)
+    product = reduce(lambda a, b: a * b, [F.col(c).cast("double") for c in joined.columns if c != var])
+    return joined.agg(F.sum(product)).first()[0] or 0.0
+
+
 def _without(factors: list[DataFrame], var: str) -> list[DataFrame]:
     """The relations after a variable is summed out."""
     own = sorted((f for f in factors if var in f.columns), key=lambda f: len(f.columns))

@@ -1,8 +1,8 @@
-"""Patterns, and the order in which their variables are summed out."""
+"""Patterns of vertices and edges."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 
@@ -27,15 +27,3 @@ class Pattern:
         """Whether the pattern can be seen to match nothing."""
         named = all(e.source in self.nodes and e.target in self.nodes for e in self.edges)
         return not named or not all(self.nodes.values()) or not all(e.relations and e.direction in ("OUT", "IN") for e in self.edges)
-
-
-def elimination_order(variables: Iterable[str], scopes: Iterable[frozenset[str]], sizes: Mapping[str, int]) -> list[str]:
-    """Variables in the order to sum them out: fewest neighbours first, then most candidates, so that small sides stay."""
-    left, scopes, order = set(variables), [frozenset(s) for s in scopes], []
-    while left:
-        around = {v: frozenset().union(*(s for s in scopes if v in s)) - {v} for v in left}
-        best = min(left, key=lambda v: (len(around[v]), -sizes.get(v, 0), v))
-        order.append(best)
-        left.discard(best)
-        scopes = [s for s in scopes if best not in s] + [around[best]]
-    return order

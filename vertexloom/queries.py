@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.model import RAW, PropertyGraph
+from vertexloom.functions.shared import scratch_path
+from vertexloom.model import EDGE_LIST, RAW, PropertyGraph
 from vertexloom.operators import ingest, lookups, matching, neighbours, reach, wcc
 from vertexloom.plans.patterns import Pattern, PatternEdge
 from vertexloom.plans.views import VIEWS, stored_graph
+from vertexloom.sources.edge_lists import CSV_COLUMNS, read_edge_list, write_workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -251,5 +253,40 @@ def _matches() -> None:
         _add(name, view, lambda g, p=Pattern(nodes, edges): matching.match_count(g, p), f"{_with(view)} SELECT count(*) AS count FROM {', '.join(tables)} WHERE {where}")
 
 
-for _make in (_ingests, _lookups, _neighbours, _khops, _walks, _components, _matches):
+def _sources() -> None:
+    """A view is written as a file of each kind and read back, numbered by its rows."""
+
+    def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return VIEWS["events"](spark, sf_dir).repartition(1).sortWithinPartitions("row_no")
+
+    def from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{scratch_path(spark, 'edges')}.csv"
+        header = dict(zip(EDGE_LIST, CSV_COLUMNS, strict=True))
+        rows = lines(spark, sf_dir).select(F.lit("more").alias("extra"), *(F.col(c).alias(header[c]) for c in reversed(EDGE_LIST)))
+        rows.write.option("header", True).csv(path)
+        return read_edge_list(spark, path).withColumn("row_no", F.col("row_no") - 1)
+
+    def from_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{scratch_path(spark, 'edges')}.parquet"
+        lines(spark, sf_dir).drop("row_no").write.parquet(path)
+        return read_edge_list(spark, path)
+
+    def from_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # A workbook is one file; it holds the nations, of which there are 25 at any scale.
+        path = f"{scratch_path(spark, 'edges')}.xlsx"
+        nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()
+        write_workbook(spark, path, [(r["n_name"], "Nation", "IN_REGION", r["n_regionkey"], "Region") for r in nations])
+        return read_edge_list(spark, path)
+
+    numbered = "SELECT row_number() OVER (ORDER BY row_no) - 1 AS row_no, start_pk, start_label, rel, end_pk, end_label FROM raw"
+    for name, run in (("source_csv", from_csv), ("source_parquet", from_parquet)):
+        QUERIES[name] = run
+        ORACLE_SQL[name] = f"WITH raw AS ({_RAW['events']}) {numbered}"
+    QUERIES["source_xlsx"] = from_xlsx
+    ORACLE_SQL["source_xlsx"] = """
+        SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_no, n_name AS start_pk, 'Nation' AS start_label, 'IN_REGION' AS rel,
+               n_regionkey::VARCHAR AS end_pk, 'Region' AS end_label FROM nation"""
+
+
+for _make in (_sources, _ingests, _lookups, _neighbours, _khops, _walks, _components, _matches):
     _make()

@@ -5,8 +5,9 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -146,3 +147,26 @@ def _cell(cell: ElementTree.Element, shared: list[str]) -> str:
     if kind == "b":
         return "TRUE" if value == "1" else "FALSE"
     return re.sub(r"\.0+$", "", value) if kind in (None, "n") else value
+
+
+def write_workbook(spark: SparkSession, path: str, rows: Iterable[Sequence[str | int | float]]) -> None:
+    """A workbook of one sheet with a header and edge rows, at a path that Spark can write to. Its rows are held in memory."""
+
+    def cell(value: str | int | float) -> str:
+        if isinstance(value, int | float):
+            return f"<c><v>{value}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+
+    sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in (CSV_COLUMNS, *rows))
+    main, relation = _MAIN.strip("{}"), _ID.strip("{").split("}")[0]
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{relation}"><sheets><sheet name="edges" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(content.getvalue()))
+    finally:
+        out.close()
