@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from vertexloom.functions.arrow import slices, with_columns
 from vertexloom.llm.pretokens import pretokens
 
-#: Bounds of what a worker keeps: pre-tokens, and characters of each; longer ones are encoded each time.
-CACHE_SIZE, MAX_PIECE = 1 << 18, 64
+#: Bounds of what a worker keeps, about 100 MB: pre-tokens, characters of each (longer ones are encoded each time), pairs of tokens.
+CACHE_SIZE, MAX_PIECE, PAIRS = 1 << 18, 64, 1 << 18
 LATE = 1 << 60
 
 
@@ -48,7 +48,7 @@ class Vocabulary:
         self.heads = {b[:i] for b in ranks for i in range(len(b) + 1)}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._fallen: dict[bytes, bytes] = {}
         self._endings: dict[bytes, tuple[tuple[int, int], ...]] = {}
 
@@ -117,11 +117,12 @@ class Vocabulary:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether b may come right after a in an encoding."""
-        found = self._pairs.get((a, b))
+        pair = a << 32 | b
+        found = self._pairs.get(pair)
         if found is None:
-            if len(self._pairs) > 4 * CACHE_SIZE:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self._follows(a, b)
+            found = self._pairs[pair] = self._follows(a, b)
         return found
 
     def _follows(self, a: int, b: int) -> bool:
