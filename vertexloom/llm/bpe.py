@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,11 +34,28 @@ from pyspark.sql import functions as F
 from vertexloom.functions.arrow import slices, with_columns
 from vertexloom.llm.pretokens import pretokens
 
-#: Bounds of what a worker keeps, about 100 MB: pre-tokens, characters of each (longer ones are encoded each time), pairs of tokens.
-CACHE_SIZE, MAX_PIECE, PAIRS = 1 << 18, 64, 1 << 18
+#: Bounds of what a worker keeps: entries of a half of a cache, characters of a pre-token (longer ones are encoded each time).
+PIECES, MAX_PIECE, PAIRS, FALLEN = 1 << 16, 64, 1 << 16, 1 << 15
 LATE = 1 << 60
 
 
+class Halves(dict):
+    """A cache in two halves: when the new one is full it becomes the old one, and what is asked for again moves from the old to the new."""
+
+    def __init__(self, find: Callable[[Any], Any], room: int):
+        self.find, self.room, self.old = find, room, {}
+
+    def __missing__(self, key: Any) -> Any:
+        found = self.old.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Vocabulary:
     """Ranks of byte strings; a token's id is its rank."""
 
@@ -48,9 +66,9 @@ class Vocabulary:
         self.heads = {b[:i] for b in ranks for i in range(len(b) + 1)}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self._pairs: dict[int, bool] = {}
-        self._fallen: dict[bytes, bytes] = {}
-        self._endings: dict[bytes, tuple[tuple[int, int], ...]] = {}
+        self.longest_end = Halves(self._fall, FALLEN)
+        self.endings = Halves(self._ends, len(self.heads))
+        self.follows = Halves(self._follows, PAIRS)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -92,41 +110,20 @@ class Vocabulary:
             self._edges[key] = out[::-1]
         return self._edges[key]
 
-    def step(self, head: bytes, byte: bytes) -> bytes:
-        """The longest end of ``head + byte`` that begins a token, ``head`` being the longest such end before."""
-        grown = head + byte
-        if grown in self.heads:
-            return grown
-        found = self._fallen.get(grown)
-        if found is None:
-            if len(self._fallen) > CACHE_SIZE:
-                self._fallen.clear()
-            found = grown
-            while found not in self.heads:
-                found = found[1:]
-            self._fallen[grown] = found
-        return found
+    def _fall(self, grown: bytes) -> bytes:
+        """The longest end of ``grown`` that begins a token."""
+        while grown not in self.heads:
+            grown = grown[1:]
+        return grown
 
-    def endings(self, head: bytes) -> tuple[tuple[int, int], ...]:
+    def _ends(self, head: bytes) -> tuple[tuple[int, int], ...]:
         """(size, token) of the tokens that end ``head`` and that merging gives, the longest first."""
-        found = self._endings.get(head)
-        if found is None:
-            ends = ((len(head) - i, self.ranks.get(head[i:])) for i in range(len(head)))
-            found = self._endings[head] = tuple((n, t) for n, t in ends if t is not None and self.made(t))
-        return found
+        ends = ((len(head) - i, self.ranks.get(head[i:])) for i in range(len(head)))
+        return tuple((n, t) for n, t in ends if t is not None and self.made(t))
 
-    def follows(self, a: int, b: int) -> bool:
-        """Whether b may come right after a in an encoding."""
-        pair = a << 32 | b
-        found = self._pairs.get(pair)
-        if found is None:
-            if len(self._pairs) > PAIRS:
-                self._pairs.clear()
-            found = self._pairs[pair] = self._follows(a, b)
-        return found
-
-    def _follows(self, a: int, b: int) -> bool:
-        left, right = self.edge(a, True), self.edge(b, False)
+    def _follows(self, pair: int) -> bool:
+        """Whether b may come right after a in an encoding, for ``a << 32 | b``."""
+        left, right = self.edge(pair >> 32, True), self.edge(pair & 0xFFFFFFFF, False)
         i = j = 0
         while True:
             (x, x_used), (y, y_used) = left[i], right[j]
@@ -173,13 +170,16 @@ class PrefixTable:
     def _lasts(self, start: int) -> Iterator[int]:
         """Last tokens of the prefixes longer than ``start``, in order; each is to be stored before the next is taken."""
         v, data, last = self.vocabulary, self.data, self.last
+        heads, longest_end, endings, follows = v.heads, v.longest_end, v.endings, v.follows
         head = b""
         for at in range(max(0, start - v.longest), len(data)):
-            head = v.step(head, data[at : at + 1])
+            head += data[at : at + 1]
+            if head not in heads:
+                head = longest_end[head]
             if at < start:
                 continue
-            for size, token in v.endings(head):
-                if size > at or v.follows(last[at - size], token):
+            for size, token in endings[head]:
+                if size > at or follows[last[at - size] << 32 | token]:
                     yield token
                     break
             else:
@@ -194,21 +194,20 @@ class PrefixTable:
         return out[::-1]
 
 
-class Pieces(dict):
-    """Encodings of pre-tokens, filled on demand and emptied when full."""
+class Pieces(Halves):
+    """Encodings of pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__(self.encode, PIECES)
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        return super().__missing__(piece) if len(piece) <= MAX_PIECE else self.encode(piece)
+
+    def encode(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        out = (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
-        if len(piece) <= MAX_PIECE:
-            if len(self) > CACHE_SIZE:
-                self.clear()
-            self[piece] = out
-        return out
+        return (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
 
 
 @lru_cache(maxsize=2)
