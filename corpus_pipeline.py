@@ -17,18 +17,33 @@ from vertexloom.functions.shared import discard, scratch
 from vertexloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
 
 
+#: Most rows and bytes of an Arrow batch. Batches hold whole texts, in the JVM and in the Python worker at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small; settings that are smaller still stay."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None)
+        if not (now and now.isdecimal() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted to be toxic."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -39,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns and their token ids."""
+    small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
