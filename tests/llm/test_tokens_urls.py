@@ -10,7 +10,7 @@ from odd_rows import ODD
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vertexloom.llm import bpe, pretokens, token_counts, url_filter
+from vertexloom.llm import bpe, columns, pretokens, token_counts, url_filter
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,6 +84,51 @@ def test_unreachable_tokens_are_never_used():
         assert got == library.encode_ordinary(text)
 
 
+def test_pretokens_of_a_slice_are_encoded_together(library, monkeypatch):
+    """Few pre-tokens, the longest, are encoded by themselves; small caches change nothing."""
+    alone = []
+
+    class Counted(bpe.PrefixTable):
+        def __init__(self, vocabulary, data=b""):
+            alone.append(data)
+            super().__init__(vocabulary, data)
+
+    monkeypatch.setattr(bpe, "PrefixTable", Counted)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices(["th", "an", "er", "ou", "qx", "é", "я", "日"], k=rnd.randint(3, 9))) for _ in range(3000)]
+    bpe.encode_text(MULTI, " ".join(words))
+    assert len(alone) < 64 < len(set(words))
+    texts = [*TRICKY, *random_texts(2000, 6), *(" ".join(rnd.choices(words, k=40)) for _ in range(300)), "x" * 20_000, None]
+    want = [library.encode_ordinary(t or "") for t in texts]
+    for room in (bpe.PIECES, 50):
+        alone.clear()
+        whole = bpe.Pieces(bpe.pieces(MULTI).vocabulary)
+        whole.room = room
+        assert whole.texts(texts) == want and len(alone) < bpe.FEW and b"x" * 20_000 in alone
+        assert [ids for at in range(0, len(texts), 100) for ids in whole.texts(texts[at : at + 100])] == want
+        assert len(whole) <= room and len(whole.old) <= room and max(map(len, whole)) <= bpe.MAX_PIECE
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_columns_with_any_merges(seed):
+    """Vocabularies of arbitrary merges, many of which never happen, against the library; merging in order of rank must do."""
+    rnd, ranks, known = random.Random(seed), {bytes([b]): b for b in range(256)}, [b"a", b"b", b"c"]
+    for _ in range(400):
+        new = rnd.choice(known) + rnd.choice(known)
+        if new in ranks or len(new) > 8:
+            continue
+        more = bpe.Vocabulary(ranks | {new: len(ranks)})
+        if all(more.made(t) or len(more._merged(b, bpe.LATE)) > 1 for b, t in more.ranks.items()):
+            ranks = more.ranks
+            known.append(new)
+    v = bpe.Vocabulary(ranks)
+    library = tiktoken.Encoding("own", pat_str=r"[a-z]+|[^a-z]+", mergeable_ranks=ranks, special_tokens={})
+    texts = {"".join(rnd.choices("abcd", weights=[4, 3, 3, 1], k=rnd.randint(1, 24))) for _ in range(2000)}
+    texts = sorted((t for t in texts if t.encode() not in ranks), key=len, reverse=True)
+    got = columns.Columns(v).encode([t.encode() for t in texts])
+    assert list(map(list, got)) == [library.encode_ordinary(t) for t in texts] and len(ranks) > 270
+
+
 @pytest.mark.parametrize("cache", [token_counts.CACHE_SIZE, 5])
 def test_counts_are_those_of_the_library(table, monkeypatch, cache):
     monkeypatch.setattr(token_counts, "CACHE_SIZE", cache)

@@ -12,10 +12,15 @@ in order of rank, the pieces at the common border grow on either side, and the
 pair stands unless a merge across the border comes before the merges that use
 these pieces up.
 
+The pre-tokens that a slice of texts asks for and the cache lacks are encoded
+together, by the same programming over arrays (``columns.py``).
+
 Defined cases: a null text counts as empty and has no tokens; rows are
 independent, so repeated rows, any length and extra columns are fine; an empty
 table gives an empty result. Decoding joins the tokens' bytes; an id outside
-the vocabulary raises an error.
+the vocabulary raises an error. A vocabulary's tokens must come from merges in
+order of rank: one that only a merge of higher rank leads to is taken as never
+given, where the library may give it.
 """
 
 from __future__ import annotations
@@ -23,19 +28,23 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
+from itertools import chain, islice
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.arrow import slices, with_columns
+from vertexloom.llm.columns import Columns
 from vertexloom.llm.pretokens import pretokens
 
 #: Bounds of what a worker keeps: entries of a half of a cache, characters of a pre-token (longer ones are encoded each time).
 PIECES, MAX_PIECE, PAIRS, FALLEN = 1 << 16, 64, 1 << 16, 1 << 15
+#: Pre-tokens that arrays pay for: where fewer are as long, each is encoded by itself.
+FEW = 64
 LATE = 1 << 60
 
 
@@ -49,11 +58,15 @@ class Halves(dict):
         found = self.old.get(key)
         if found is None:
             found = self.find(key)
-        if len(self) >= self.room:
+        self.keep({key: found})
+        return found
+
+    def keep(self, found: dict) -> None:
+        """Add entries that are not in the new half, as many as it has room for."""
+        if len(self) + len(found) > self.room:
             self.old = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self.update(found if len(found) <= self.room else islice(found.items(), self.room))
 
 
 class Vocabulary:
@@ -201,13 +214,41 @@ class Pieces(Halves):
         super().__init__(self.encode, PIECES)
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        return super().__missing__(piece) if len(piece) <= MAX_PIECE else self.encode(piece)
+    @cached_property
+    def columns(self) -> Columns:
+        return Columns(self.vocabulary)
 
     def encode(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        return (whole,) if whole is not None else tuple(PrefixTable(self.vocabulary, data).tokens())
+        return self.encode_all([piece])[piece]
+
+    def encode_all(self, new: list[str]) -> dict[str, tuple[int, ...]]:
+        """Encodings of different pre-tokens that are not empty: together as far as enough are as long, each longer one by itself."""
+        data = [p.encode() for p in new]
+        out = dict(zip(new, map(self.vocabulary.ranks.get, data), strict=True))
+        parted = np.fromiter((w is None for w in out.values()), bool, len(new)).nonzero()[0]
+        out = {p: (w,) for p, w in out.items() if w is not None}
+        sizes = np.fromiter(map(len, data), np.int64, len(new))[parted]
+        order = np.argsort(-sizes, kind="stable")
+        long = int((sizes > sizes[order[FEW - 1]]).sum()) if len(order) >= FEW else len(order)
+        order = parted[order].tolist()
+        for i in order[:long]:
+            out[new[i]] = tuple(PrefixTable(self.vocabulary, data[i]).tokens())
+        if many := order[long:]:
+            out.update(zip(map(new.__getitem__, many), self.columns.encode([data[i] for i in many]), strict=True))
+        return out
+
+    def texts(self, texts: Iterable[str | None]) -> list[list[int]]:
+        """Ids of texts; what the cache lacks of all of them is encoded together."""
+        split = [pretokens(t or "") for t in texts]
+        asked = set(chain.from_iterable(split))
+        known = dict(zip(asked, map(self.get, asked), strict=True))
+        lacked = [p for p, ids in known.items() if ids is None]
+        again = {p: ids for p, ids in zip(lacked, map(self.old.get, lacked), strict=True) if ids is not None}
+        new = self.encode_all([p for p in lacked if p not in again])
+        known |= again
+        known |= new
+        self.keep(again | {p: ids for p, ids in new.items() if len(p) <= MAX_PIECE})
+        return [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
 
 
 @lru_cache(maxsize=2)
@@ -218,7 +259,7 @@ def pieces(path: str) -> Pieces:
 
 def encode_text(path: str, text: str | None) -> list[int]:
     """Ids of a text, each pre-token by itself."""
-    return list(chain.from_iterable(map(pieces(path).__getitem__, pretokens(text or ""))))
+    return pieces(path).texts([text])[0]
 
 
 def decode_ids(path: str, ids: Iterable[int]) -> bytes:
@@ -233,7 +274,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [encode_text(path, t) for t in batch.column(text).to_pylist()]
+            found = pieces(path).texts(batch.column(text).to_pylist())
             yield with_columns(batch, names, **{ids: pa.array(found, pa.list_(pa.int32()))})
 
     return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(encoded, _schema(keep, ids, "array<int>"))
@@ -264,8 +305,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         written = {i: str(i) for i in pieces(path).vocabulary.bytes_of}
         for batch in slices(batches):
             n, ids_sha, decoded_sha = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = encode_text(path, text)
+            for ids in pieces(path).texts(batch.column("text").to_pylist()):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(written.__getitem__, ids)).encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(decode_ids(path, ids)).hexdigest())
