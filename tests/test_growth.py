@@ -1,13 +1,15 @@
 """What keeps a step's work in proportion to its input."""
 
+import random
 from collections import Counter
 
 import pytest
-from test_graph import count, stored
+from simulation import Graph
+from test_graph import count, raw, stored
 
 from vertexloom.functions import idsets
 from vertexloom.functions.shared import materialize
-from vertexloom.operators import matching
+from vertexloom.operators import components, ingest, matching, wcc
 from vertexloom.plans.patterns import Pattern, PatternEdge
 
 
@@ -45,3 +47,43 @@ def test_rows_among_ids(spark, monkeypatch, small):
     assert Counter(r.src for r in found.collect()) == Counter({i: 1 for i in wanted} | {700: 2})
     assert ("Exchange hashpartitioning" in plan(found)) != small
     assert idsets.among(rows, "src", spark.createDataFrame([], "id long")).count() == 0
+
+
+def slow_components(edges):
+    best = {v: v for e in edges for v in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(best[a], best[b])
+            changed |= best[a] != low or best[b] != low
+            best[a] = best[b] = low
+    return best
+
+
+@pytest.mark.parametrize("kind", ["random", "sorted path", "mixed path", "hub"])
+def test_components_shrink_from_round_to_round(spark, kind):
+    rnd = random.Random(5)
+    n = 300
+    edges = {
+        "random": [(rnd.randint(0, n), rnd.randint(0, n)) for _ in range(250)],
+        "sorted path": [(i, i + 1) for i in range(n)],
+        "mixed path": list(zip(p := rnd.sample(range(n), n), p[1:], strict=False)),
+        "hub": [(7, i) for i in range(n) if i != 7] + [(i, i + 1) for i in range(500, 510)],
+    }[kind]
+    edges = [(a, b) for a, b in edges if a != b]
+    df = materialize(spark.createDataFrame(edges, "a long, b long"))
+    want = slow_components(edges)
+    rounds = [t.count() for t in components._rounds(df)]
+    assert sum(rounds) <= 6 * len(want) and len(rounds) <= 20, rounds
+    assert {r.node: r.component for r in components.connected_components(df).collect()} == want
+    done, nodes = components.component_count(df)
+    assert done == len(set(want.values())) and {r.node for r in nodes.collect()} == set(want)
+
+
+def test_component_count_of_a_graph_that_is_not_stored(spark):
+    rows = [("a", "A", "r", "b", "B"), ("c", "A", "r", "c", "A"), ("d", "C", "s", "e", "B"), ("e", "B", "r", "f", "B")]
+    graph = ingest.build(raw(spark, rows))
+    for relations, labels in (([], []), (["r"], []), ([], ["A", "B"]), (["s"], ["C"]), (["none"], [])):
+        assert count(wcc.weak_component_count(graph, relations, labels)) == Graph(rows).wcc(relations, labels)
+        assert wcc.weak_components(graph, relations, labels).filter("id = component").count() == Graph(rows).wcc(relations, labels)
