@@ -11,6 +11,8 @@ from vertexloom.functions import idsets
 from vertexloom.functions.shared import materialize
 from vertexloom.operators import components, ingest, matching, wcc
 from vertexloom.plans.patterns import Pattern, PatternEdge
+from vertexloom.queries import QUERIES
+from vertexloom.sources.edge_lists import read_edge_list
 
 
 def plan(df):
@@ -87,3 +89,25 @@ def test_component_count_of_a_graph_that_is_not_stored(spark):
     for relations, labels in (([], []), (["r"], []), ([], ["A", "B"]), (["s"], ["C"]), (["none"], [])):
         assert count(wcc.weak_component_count(graph, relations, labels)) == Graph(rows).wcc(relations, labels)
         assert wcc.weak_components(graph, relations, labels).filter("id = component").count() == Graph(rows).wcc(relations, labels)
+
+
+def test_files_are_numbered_where_they_are_read(spark, tmp_path):
+    folder = tmp_path / "e.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("endLabel,extra,startId,endId,edgeLabel,startLabel\nE,,s0,t0,r,S\n")
+    (folder / "part-1.csv").write_text("".join(f"E,,s{i},t{i},r,S\n" for i in range(1, 40)))
+    (folder / "part-2.csv").write_text("E,,s40,t40,r,S\n")
+    found = read_edge_list(spark, str(folder))
+    assert "Exchange rangepartitioning" not in plan(found)
+    assert sorted((r.row_no, r.start_pk, r.end_label) for r in found.collect()) == [(i + 1, f"s{i}", "E") for i in range(41)]
+
+
+@pytest.mark.parametrize("name", ["source_csv", "source_parquet"])
+def test_a_view_is_written_in_parts(spark, name, monkeypatch):
+    monkeypatch.setattr("vertexloom.queries.read_edge_list", lambda spark, path: spark.read.format("binaryFile").load(path).selectExpr("path", "0L AS row_no"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
