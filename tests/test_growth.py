@@ -51,6 +51,12 @@ def test_rows_among_ids(spark, monkeypatch, small):
     assert idsets.among(rows, "src", spark.createDataFrame([], "id long")).count() == 0
 
 
+def test_first_labels_are_met_by_hashing(spark):
+    text = plan(ingest.first_seen(raw(spark, [("a", "A", "r", "b", "B")])))
+    lowest = [line for line in text.splitlines() if "Aggregate(" in line][-1]
+    assert "HashAggregate" in lowest and "partial_min(seen" in lowest
+
+
 def slow_components(edges):
     best = {v: v for e in edges for v in e}
     changed = True
