@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 from simulation import Graph
-from test_graph import count, raw, stored
+from test_graph import by_pk, count, raw, stored
 
 from vertexloom.functions import idsets
 from vertexloom.functions.shared import materialize
@@ -51,6 +51,17 @@ def test_rows_among_ids(spark, monkeypatch, small):
     assert idsets.among(rows, "src", spark.createDataFrame([], "id long")).count() == 0
 
 
+def test_an_import_joins_each_row_once_for_both_views(spark):
+    rows = [("a", "A", "r", "b", "B"), ("b", "X", "s", "a", "Y"), ("a", "C", "r", "b", "D"), ("a", "A", "r", "a", "E"), ("a", "F", "r", "a", "G")]
+    graph = ingest.build(raw(spark, rows))
+    assert by_pk(graph) == Graph(rows).edge
+    assert {(r.src_pk, r.dir, r.rel, r.dst_pk): r.dst_label for r in graph.named.collect()} == Graph(rows).edge
+    assert graph.named.count() == len(Graph(rows).edge)
+    for edges in (graph.edges, graph.named):
+        text = plan(edges)
+        assert text.rindex("Join") > text.index("Generate inline")  # views part above the joins
+
+
 def test_first_labels_are_met_by_hashing(spark):
     text = plan(ingest.first_seen(raw(spark, [("a", "A", "r", "b", "B")])))
     lowest = [line for line in text.splitlines() if "Aggregate(" in line][-1]
