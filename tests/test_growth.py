@@ -9,7 +9,7 @@ from test_graph import by_pk, count, raw, stored
 
 from vertexloom.functions import idsets
 from vertexloom.functions.shared import materialize
-from vertexloom.operators import components, ingest, matching, wcc
+from vertexloom.operators import components, ingest, matching, reach, steps, wcc
 from vertexloom.plans.patterns import Pattern, PatternEdge
 from vertexloom.queries import QUERIES
 from vertexloom.sources.edge_lists import read_edge_list
@@ -51,6 +51,19 @@ def test_rows_among_ids(spark, monkeypatch, small):
     assert idsets.among(rows, "src", spark.createDataFrame([], "id long")).count() == 0
 
 
+def test_walks_and_khops_from_many_vertices(spark, tmp_path, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(f"v{rnd.randint(0, 299)}", "A", rnd.choice("rs"), f"v{rnd.randint(0, 299)}", "A") for _ in range(500)]
+    graph, sim = stored(spark, tmp_path, rows), Graph(rows)
+    monkeypatch.setattr(steps, "FEW", 2)
+    asked = []
+    monkeypatch.setattr(reach, "among", lambda edges, column, ids: asked.append(column) or idsets.among(edges, column, ids))
+    start = rows[0][0]
+    assert count(reach.khop_count(graph, [start], 4, 3)) == sim.khop([start], 4, 3, [], [])
+    assert count(reach.walk_count(graph, [start], 4, 3, ["r", "r", "s"])) == sim.walks([start], 4, 3, ["r", "r", "s"], [], False)
+    assert asked
+
+
 def test_an_import_joins_each_row_once_for_both_views(spark):
     rows = [("a", "A", "r", "b", "B"), ("b", "X", "s", "a", "Y"), ("a", "C", "r", "b", "D"), ("a", "A", "r", "a", "E"), ("a", "F", "r", "a", "G")]
     graph = ingest.build(raw(spark, rows))
